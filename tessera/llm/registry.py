@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> (module, function)
 _QUERIES = {
+    "op2_token_counts": ("token_counts", "op2_token_counts"),
+    "op5_packing": ("packing", "op5_packing"),
     "op9_simhash": ("simhash", "op9_simhash"),
     "op10_embedding_near_dedup": ("embeddings", "op10_embedding_near_dedup"),
 }
