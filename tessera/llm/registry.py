@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op2_token_counts": ("token_counts", "op2_token_counts"),
     "op5_packing": ("packing", "op5_packing"),
+    "op7_lz_fingerprint": ("lz", "op7_lz_fingerprint"),
+    "op8_chat_format": ("chat", "op8_chat_format"),
     "op9_simhash": ("simhash", "op9_simhash"),
     "op10_embedding_near_dedup": ("embeddings", "op10_embedding_near_dedup"),
 }
 
+#: queries with SQL -> module that holds it as ORACLE_SQL
+_ORACLES = {"op8_chat_format": "chat"}
+
 
 def _call(module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: getattr(import_module(f"tessera.llm.{module}"), function)(spark, sf_dir)
@@ -25,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: import_module(f"tessera.llm.{module}").ORACLE_SQL for name, module in _ORACLES.items()}
