@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> (module, function)
 _QUERIES = {
     "op2_token_counts": ("token_counts", "op2_token_counts"),
+    "op3_byte_bpe": ("bytebpe", "op3_byte_bpe"),
     "op5_packing": ("packing", "op5_packing"),
     "op7_lz_fingerprint": ("lz", "op7_lz_fingerprint"),
     "op8_chat_format": ("chat", "op8_chat_format"),
