@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> (module, function)
 _QUERIES = {
+    "op1_line_dedup": ("lines", "op1_line_dedup"),
     "op2_token_counts": ("token_counts", "op2_token_counts"),
     "op3_byte_bpe": ("bytebpe", "op3_byte_bpe"),
     "op5_packing": ("packing", "op5_packing"),
