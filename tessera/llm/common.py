@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+BITMAP_BITS = 1 << 23
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,25 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ordinal(doc_id: Column) -> Column:
+    """doc_id as a long, nulls first."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
+def in_bitmap(rows: DataFrame, value: Column, members: DataFrame, member: Column, keep: bool = True) -> DataFrame:
+    """Rows whose value may be among the members, or with keep false the others:
+    those that surely are not. The members' hashes are a bitmap of 1 MiB,
+    whatever their number, and that is what is broadcast."""
+    bit = lambda v: F.pmod(F.xxhash64(v), F.lit(BITMAP_BITS)) + 1
+    bits = members.select(bit(member).alias("bit"))
+    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    held = rows.withColumn("bit", bit(value)).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(maps), "bucket", "left")
+    at = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return held.where(there if keep else ~there).select(rows.columns)
+
+
 def batches_of(batches: Iterator, column: str, most_bytes: int) -> Iterator:
     """Cut Arrow batches so that none holds much over most_bytes of column."""
     for batch in batches:

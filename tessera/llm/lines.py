@@ -25,20 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, read_table
+from tessera.llm.common import in_bitmap, materialize, ordinal, read_table
 
 #: Letters whose counts are compared before two lines are; any other count as one.
 LETTERS = ("e", "n", "a", "t", "i", "o", "r", "s")
-_BITS = 1 << 23
-
-
-def _ordinal(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(ord, pos, line): the lines of every document that are not blank, trimmed."""
-    split = docs.select(_ordinal(F.col("doc_id")).alias("ord"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    split = docs.select(ordinal(F.col("doc_id")).alias("ord"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     return split.select("ord", "pos", F.btrim("raw", F.lit(" \t\r")).alias("line")).where("line <> ''")
 
 
@@ -135,20 +130,6 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     return F.when(m == 0, n <= max_edits).otherwise(walked <= max_edits)
 
 
-def _in_bitmap(rows: DataFrame, value: Column, members: DataFrame, member: Column, keep: bool = True) -> DataFrame:
-    """Rows whose value may be among the members, or with keep false the others:
-    those that surely are not. The members' hashes are a bitmap of 1 MiB,
-    whatever their number, and that is what is broadcast."""
-    bit = lambda v: F.pmod(F.xxhash64(v), F.lit(_BITS)) + 1
-    bits = members.select(bit(member).alias("bit"))
-    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    held = rows.withColumn("bit", bit(value)).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(maps), "bucket", "left")
-    at = F.bitmap_bit_position("bit")
-    byte = F.conv(F.hex(F.substring("map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    there = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return held.where(there if keep else ~there).select(rows.columns)
-
-
 def distinct_lines(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """(h1, h2, n, keys, first, times) of each distinct line; first is its first
     occurrence as ord * 2^31 + pos."""
@@ -174,7 +155,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, max_edits: int, min_chars:
 
     # Texts of the lines that share a key, from the documents that have any.
     wanted = shared.select("ord", "pos").distinct()
-    some = _in_bitmap(docs.select("doc_id", "text"), _ordinal(F.col("doc_id")), wanted, F.col("ord"))
+    some = in_bitmap(docs.select("doc_id", "text"), ordinal(F.col("doc_id")), wanted, F.col("ord"))
     line = F.col("line")
     counts = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("short") for c in LETTERS]
     # Rows that repeat a document give the line twice, or two lines at one place; the key's line is told by its length first.
@@ -233,9 +214,9 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, group_
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
     zero = F.lit(0).cast("long")
-    spared = _in_bitmap(rows, _ordinal(F.col("doc_id")), dropped, F.col("ord"), keep=False)
+    spared = in_bitmap(rows, ordinal(F.col("doc_id")), dropped, F.col("ord"), keep=False)
     spared = spared.withColumns({"n_lines": n_lines, "n_repeated": zero, "n_near": zero})
-    hit = _in_bitmap(rows, _ordinal(F.col("doc_id")), dropped, F.col("ord")).withColumn("__ord", _ordinal(F.col("doc_id")))
+    hit = in_bitmap(rows, ordinal(F.col("doc_id")), dropped, F.col("ord")).withColumn("__ord", ordinal(F.col("doc_id")))
     hit = hit.join(dropped.withColumnRenamed("ord", "__ord"), "__ord", "left")
     none = F.array().cast("array<int>")
     gone = F.concat(F.coalesce("repeated_at", none), F.coalesce("near_at", none))

@@ -12,6 +12,7 @@ _QUERIES = {
     "op1_line_dedup": ("lines", "op1_line_dedup"),
     "op2_token_counts": ("token_counts", "op2_token_counts"),
     "op3_byte_bpe": ("bytebpe", "op3_byte_bpe"),
+    "op4_quality": ("quality", "op4_quality"),
     "op5_packing": ("packing", "op5_packing"),
     "op7_lz_fingerprint": ("lz", "op7_lz_fingerprint"),
     "op8_chat_format": ("chat", "op8_chat_format"),
