@@ -14,6 +14,7 @@ _QUERIES = {
     "op3_byte_bpe": ("bytebpe", "op3_byte_bpe"),
     "op4_quality": ("quality", "op4_quality"),
     "op5_packing": ("packing", "op5_packing"),
+    "op6_license_scan": ("licenses", "op6_license_scan"),
     "op7_lz_fingerprint": ("lz", "op7_lz_fingerprint"),
     "op8_chat_format": ("chat", "op8_chat_format"),
     "op9_simhash": ("simhash", "op9_simhash"),
@@ -21,7 +22,7 @@ _QUERIES = {
 }
 
 #: queries with SQL -> module that holds it as ORACLE_SQL
-_ORACLES = {"op8_chat_format": "chat"}
+_ORACLES = {"op6_license_scan": "licenses", "op8_chat_format": "chat"}
 
 
 def _call(module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
