@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from tessera.llm import lines
 
@@ -45,10 +46,11 @@ def brute(rows, k, least):
     first, near = {}, set()
     for d, i, ln in order:
         first.setdefault(ln, (d, i))
-    distinct = sorted(first.items(), key=lambda x: x[1])
-    for j, (ln, at) in enumerate(distinct):
-        for other, _ in distinct[:j]:
-            if min(len(ln), len(other)) >= least and abs(len(ln) - len(other)) <= k and distance(ln, other) <= k:
+    distinct = [ln for ln, _ in sorted(first.items(), key=lambda x: x[1]) if len(ln) >= least]
+    letters = {ln: Counter(ln) for ln in distinct}
+    for j, ln in enumerate(distinct):
+        for other in distinct[:j]:
+            if abs(len(ln) - len(other)) <= k and (letters[ln] - letters[other]).total() <= k and distance(ln, other) <= k:
                 near.add(ln)
                 break
     out = []
