@@ -1,15 +1,380 @@
-"""Named queries over the standard tables, and the same in DuckDB's SQL."""
+"""Named queries over the standard tables, and the same in DuckDB's SQL.
+
+Scores are rounded to six digits on both sides and ranked by that; ids break ties.
+Vectors are compared as DOUBLE[] in SQL, and come out as (id, pos, value) rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import validate
+from tessera.functions import filters, kernels
+from tessera.operators import ann, embed, log, search
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def vector_of(df: DataFrame, id_: int) -> list[float]:
+    return df.where(F.col("id") == id_).select("vector").head()["vector"]
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with the metadata of the document of the same number, where there is one."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    return vectors(spark, sf_dir).join(docs, "id", "left").join(labels, "id", "left")
+
+
+# Distance kernels
+
+_E = "e.embedding::DOUBLE[]"
+_Q = "q.embedding::DOUBLE[]"
+_N2 = "list_dot_product({0}, {0})"
+_COSINE_SIMILARITY = f"CASE WHEN {_N2.format(_E)} < 1e-10 OR {_N2.format(_Q)} < 1e-10 THEN 0e0 ELSE greatest(-1e0, least(1e0, list_dot_product({_E}, {_Q}) / sqrt({_N2.format(_E)} * {_N2.format(_Q)}))) END"
+_SCORE = {"cosine": _COSINE_SIMILARITY, "dot": f"list_dot_product({_E}, {_Q})", "l2": f"list_distance({_E}, {_Q})"}
+_DIRECTION = {"cosine": "DESC", "dot": "DESC", "l2": "ASC"}
+_PAIR = {"cosine": f"1e0 - ({_COSINE_SIMILARITY})", "dot": _SCORE["dot"], "l2": _SCORE["l2"]}
+
+
+def _top(metric: str, where: str = "true", source: str = "embeddings e", k: int = 10) -> str:
+    return f"""
+SELECT e.vec_id, round({_SCORE[metric]}, 6) AS score FROM {source}, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+WHERE {where} ORDER BY score {_DIRECTION[metric]}, e.vec_id LIMIT {k}"""
+
+
+def _knn(metric: str, where: str | None = None, source=vectors, k: int = 10) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = source(spark, sf_dir)
+        return search.knn(rows, vector_of(vectors(spark, sf_dir), 0), k, metric, where).select(F.col("id").alias("vec_id"), "score")
+
+    return run
+
+
+def _pairs(metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = vectors(spark, sf_dir)
+        return search.pairwise(rows.where("id < 5"), rows, metric).withColumn("value", F.col("value") + 0.0)
+
+    return run
+
+
+def _batch(metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = vectors(spark, sf_dir)
+        asked = rows.where("id < 20").select(F.col("id").alias("qid"), "vector")
+        return search.knn_batch(rows, asked, 10, metric).select("qid", F.col("id").alias("vec_id"), "score", "rank")
+
+    return run
+
+
+for _m in ("cosine", "dot", "l2"):
+    query(f"knn_{_m}_top10", _top(_m))(_knn(_m))
+    query(
+        f"pairwise_{_m}",
+        f"SELECT q.vec_id AS a_id, e.vec_id AS b_id, round({_PAIR[_m]}, 6) + 0e0 AS value FROM embeddings e, embeddings q WHERE q.vec_id < 5",
+    )(_pairs(_m))
+    query(
+        f"knn_batch_top10_{_m}",
+        f"""SELECT qid, vec_id, score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {_DIRECTION[_m]}, vec_id) AS rank FROM (
+    SELECT q.vec_id AS qid, e.vec_id, round({_SCORE[_m]}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20)) WHERE rank <= 10""",
+    )(_batch(_m))
+
+
+@query("squared_norms", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm2 FROM embeddings")
+def squared_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.round(kernels.squared_norm(F.col("vector")), 6).alias("norm2"))
+
+
+@query(
+    "normalize_l2",
+    """SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(x / sqrt(n2), 6) + 0e0 AS value FROM (
+  SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding::DOUBLE[]) AS x, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS n2 FROM embeddings)""",
+)
+def normalize_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(kernels.normalize(F.col("vector"))).alias("pos", "x"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 6) + 0.0).alias("value"))
+
+
+_CASES = (("orthogonal", [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]), ("zero_first", [0.0] * 4, [3.0, 4.0, 0.0, 0.0]), ("zero_second", [3.0, 4.0, 0.0, 0.0], [0.0] * 4), ("both_zero", [0.0] * 4, [0.0] * 4), ("same", [1.0, 2.0, 3.0], [1.0, 2.0, 3.0]), ("opposite", [1.0, 2.0], [-1.0, -2.0]), ("tiny", [1e-6, 0.0], [1.0, 0.0]), ("small", [1e-4, 0.0], [1.0, 0.0]))
+
+
+@query(
+    "kernel_edge_cases",
+    """SELECT "case", dot, cosine, l2 FROM (VALUES ('orthogonal', 0e0, 1e0, 1.414214e0), ('zero_first', 0e0, 1e0, 5e0), ('zero_second', 0e0, 1e0, 5e0),
+  ('both_zero', 0e0, 1e0, 0e0), ('same', 14e0, 0e0, 0e0), ('opposite', -5e0, 2e0, 4.472136e0), ('tiny', 1e-6, 1e0, 0.999999e0), ('small', 1e-4, 0e0, 0.9999e0)) t("case", dot, cosine, l2)""",
+)
+def kernel_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(_CASES), "case string, a array<double>, b array<double>")
+    a, b = F.col("a"), F.col("b")
+    return rows.select("case", *[(F.round(f(a, b), 6) + 0.0).alias(n) for n, f in (("dot", kernels.dot), ("cosine", kernels.cosine_distance), ("l2", kernels.l2_distance))])
+
+
+# Point reads and the catalog
+
+
+@query("get_by_id", "SELECT CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS pos, unnest(embedding::DOUBLE[]) AS value FROM embeddings WHERE vec_id = 7")
+def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = vectors(spark, sf_dir).where("id = 7").select(F.posexplode("vector").alias("pos", "value"))
+    return got.select(F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
+
+
+@query("get_missing", "SELECT vec_id, label FROM embeddings WHERE vec_id = -1")
+def get_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).where("id = -1").select(F.col("id").alias("vec_id"), "label")
+
+
+@query("list_collections", "SELECT 'label_' || label AS name, CAST(count(*) AS BIGINT) AS vector_count FROM embeddings GROUP BY label ORDER BY name")
+def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).groupBy(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("name"))
+    return rows.agg(F.count("*").alias("vector_count")).orderBy("name")
+
+
+@query("collection_stats", "SELECT label, CAST(count(*) AS BIGINT) AS vector_count, CAST(min(len(embedding)) AS BIGINT) AS min_dim, CAST(max(len(embedding)) AS BIGINT) AS max_dim, CAST(sum(len(embedding)) * 4 AS BIGINT) AS vector_bytes FROM embeddings GROUP BY label")
+def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size("vector").cast("long")
+    return vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("vector_count"), F.min(n).alias("min_dim"), F.max(n).alias("max_dim"), (F.sum(n) * 4).alias("vector_bytes"))
+
+
+@query("dim_validation", "SELECT CASE WHEN embedding IS NULL OR len(embedding) < 1 THEN 'DIM_TOO_SMALL' WHEN len(embedding) <> 64 THEN 'DIM_MISMATCH' ELSE 'OK' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM embeddings GROUP BY 1")
+def dim_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.coalesce(validate.vector_error(F.col("vector"), 64), F.lit("OK"))
+    return vectors(spark, sf_dir).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+_NAMES = ("docs", "docs123", "my-collection", "my_collection", "a" * 64, "a" * 65, "", "-abc", "_abc", ".abc", "my collection", "col@name", "col#name", "docs\n", "é")
+_NAME_ROWS = ", ".join("('" + n.replace("\n", "' || chr(10) || '") + "')" for n in _NAMES)
+
+
+@query("name_validation", f"SELECT name, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9_-]{{0,63}}') AS valid FROM (VALUES {_NAME_ROWS}) t(name)")
+def name_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", validate.name_is_valid(F.col("name")).alias("valid"))
+
+
+@query("metric_codes", "SELECT name, CAST(code AS INTEGER) AS code FROM (VALUES ('l2', 0), ('cosine', 1), ('dot', 2), ('euclidean', NULL), ('L2', NULL)) t(name, code)")
+def metric_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(n,) for n in ("l2", "cosine", "dot", "euclidean", "L2")], "name string")
+    return rows.select("name", validate.metric_code(F.col("name")).alias("code"))
+
+
+# Mutation logs: events, keyed by user, an error standing for a delete
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+_LAST = "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+
+
+@query("wal_replay_lww", f"SELECT user_id, event_id, event_type, value FROM ({_LAST}) WHERE event_type <> 'error'")
+def wal_replay_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = log.replay(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "value"), ["user_id"], ["event_id"], F.col("event_type") == "error")
+    return kept.select("user_id", "event_id", "event_type", "value")
+
+
+@query("wal_replay_deletes", f"SELECT user_id, event_id FROM ({_LAST}) WHERE event_type = 'error'")
+def wal_replay_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.tombstones(_events(spark, sf_dir).select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], F.col("event_type") == "error").select("user_id", "event_id")
+
+
+@query("wal_group_by_collection", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
+def wal_group_by_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.group_counts(_events(spark, sf_dir), "event_type")
+
+
+@query("upsert_created_updated", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS created FROM events")
+def upsert_created_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.upsert_flags(_events(spark, sf_dir), ["user_id"], ["event_id"]).select("event_id", "created")
+
+
+@query("compaction_sorted", f"SELECT user_id, event_id FROM ({_LAST}) WHERE event_type <> 'error' ORDER BY user_id")
+def compaction_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.compacted(_events(spark, sf_dir).select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], F.col("event_type") == "error").select("user_id", "event_id")
+
+
+@query("opcode_decode", "SELECT CASE WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS op, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def opcode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(F.col("event_type") == "error", log.DELETE).otherwise(log.INSERT)
+    return _events(spark, sf_dir).select(log.decode_op(code).alias("op")).groupBy("op").agg(F.count("*").alias("n"))
+
+
+@query("strict_insert_conflicts", "SELECT e.vec_id FROM embeddings e WHERE e.vec_id % 3 = 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id)")
+def strict_insert_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ids of a batch a collection already holds."""
+    batch = vectors(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("vec_id"))
+    held = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    return batch.join(held, "vec_id", "left_semi")
+
+
+# Metadata filters
+
+_DESCRIBED = "(SELECT e.*, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id) e"
+_FILTERS = {
+    "eq": "label = 3", "neq": "quality != 1", "range": "n_chars >= 500 AND n_chars < 2000", "in": "lang IN ('de', 'fr')", "not_in": "label NOT IN (1, 2, 3)",
+    "between": "label BETWEEN 2 AND 5", "not": "NOT (quality = 1)", "and_or": "label = 1 OR label = 2 AND lang = 'en'", "nested": "(label = 1 OR label = 2) AND NOT (lang = 'en' OR quality = 0)",
+    "null": "quality = null", "not_null": "quality != null AND lang = 'es'", "text": "source = 'src1'", "precedence": "NOT label = 1 AND lang = 'de' OR toxic = 1",
+}
+
+
+def _filter(text: str) -> Query:
+    return lambda spark, sf_dir: filters.apply(described(spark, sf_dir), text).select(F.col("id").alias("vec_id"))
+
+
+for _name, _text in _FILTERS.items():
+    _as_sql = _text.replace("quality = null", "quality IS NULL").replace("quality != null", "quality IS NOT NULL")
+    query(f"filter_{_name}", f"SELECT vec_id FROM {_DESCRIBED} WHERE {_as_sql}")(_filter(_text))
+
+
+@query("filter_json_props", "SELECT event_id FROM events WHERE CAST(props->>'k' AS BIGINT) BETWEEN 10 AND 20")
+def filter_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.apply(_events(spark, sf_dir), "k BETWEEN 10 AND 20", filters.json_of("props")).select("event_id")
+
+
+query("knn_filtered_cosine", _top("cosine", "e.label = 3"))(_knn("cosine", "label = 3"))
+query("knn_filtered_metadata", _top("l2", "e.lang = 'en' AND e.n_chars > 500", _DESCRIBED))(_knn("l2", "lang = 'en' AND n_chars > 500", described))
+
+
+@query("range_search_l2", f"SELECT e.vec_id, round({_SCORE['l2']}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE round({_SCORE['l2']}, 6) <= 1.2e0")
+def range_search_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return search.range_search(rows, vector_of(rows, 0), 1.2, "l2").select(F.col("id").alias("vec_id"), "score")
+
+
+@query(
+    "metadata_lookup_hits",
+    f"SELECT t.vec_id, t.score, d.lang, d.n_chars FROM ({_top('cosine')}) t LEFT JOIN documents d ON d.doc_id = t.vec_id",
+)
+def metadata_lookup_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _knn("cosine")(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "n_chars")
+    return hits.join(docs, "vec_id", "left").select("vec_id", "score", "lang", "n_chars")
+
+
+# Quantization and approximate search
+
+_I8 = "[greatest(-127e0, least(127e0, round(x * 127e0))) FOR x IN {0}]"
+
+
+@query(
+    "int8_quantize_knn",
+    f"""SELECT e.vec_id, round(list_dot_product({_I8.format(_E)}, {_I8.format(_Q)}) / 16129e0, 6) AS score
+FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, e.vec_id LIMIT 10""",
+)
+def int8_quantize_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return ann.int8_knn(rows, vector_of(rows, 0), 10, "dot").select(F.col("id").alias("vec_id"), "score")
+
+
+def _recalled(found: DataFrame, rows: DataFrame, q: list[float], metric: str, name: str) -> DataFrame:
+    return ann.recall(search.knn(rows, q, 10, metric), found).select(F.lit(name).alias("index"), "recall", "k")
+
+
+@query("ann_ivf_recall")
+def ann_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    q = vector_of(rows, 0)
+    return _recalled(ann.IvfIndex.build(rows, 16).search(q, 10, "l2", probes=8), rows, q, "l2", "ivf")
+
+
+@query("ann_lsh")
+def ann_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    q = vector_of(rows, 0)
+    return _recalled(ann.LshIndex.build(rows, len(q)).search(q, 10), rows, q, "cosine", "lsh")
+
+
+@query("ann_pq")
+def ann_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    q = vector_of(rows, 0)
+    return _recalled(ann.PqIndex.build(rows).search(q, 10, rerank=200), rows, q, "l2", "pq")
+
+
+# Text
+
+
+@query("text_search")
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages by text."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    asked = items.orderBy("id").head()["text"]
+    embedder = embed.hashing_embedder(128)
+    return embed.text_search(embed.embed_table(items, "text", embedder), asked, embedder, 5).select(F.col("id").alias("item_id"), "score")
+
+
+@query("rag_retrieve")
+def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chunks of conversations nearest to a passage."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").head()["text"]
+    return embed.retrieve(turns, asked, "id", "text", embed.hashing_embedder(64), 5, 60, 10).select("id", "chunk", "score")
+
+
+# Streams
+
+
+@query("stream_lww", _SQL["wal_replay_lww"])
+def stream_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay of wal_replay_lww as a stream over the same file, run to its end."""
+    from tessera.plans.scratch import scratch
+    from tessera.streaming import log_stream
+
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = log_stream.read_log_stream(spark, sf_dir, schema, glob="events.parquet") if not sf_dir.startswith("viewfs") else None
+    where = scratch(spark, "stream-lww")
+    snapshot = log_stream.Snapshot(spark, f"{where}/state", ["user_id"], ["event_id"])
+    columns = ["user_id", "event_id", "event_type", "value"]
+    if stream is None:
+        snapshot.merge(spark.read.parquet(path).select(*columns), 0)
+    else:
+        log_stream.merge_into(stream.select(*columns), snapshot, f"{where}/checkpoint").awaitTermination()
+    return snapshot.state(F.col("event_type") == "error").select(*columns)
+
+
+@query("catalog_roundtrip", "SELECT 'emb' AS name, CAST(count(*) AS BIGINT) AS vector_count, CAST(64 AS INTEGER) AS dim, 'cosine' AS metric FROM embeddings WHERE vec_id % 10 <> 3")
+def catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection made, filled, partly deleted, compacted and described."""
+    from tessera.plans.scratch import scratch
+    from tessera.sources.catalog import Catalog
+
+    catalog = Catalog(spark, scratch(spark, "catalog"))
+    rows = vectors(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector", F.to_json(F.struct("label")).alias("metadata"))
+    catalog.create("emb", 64)
+    catalog.insert_batch("emb", rows)
+    catalog.delete("emb", rows.where("cast(id as long) % 10 = 3"))
+    catalog.compact("emb")
+    return catalog.describe().select("name", "vector_count", "dim", "metric")
