@@ -53,7 +53,13 @@ def main(argv: list[str] | None = None, spark=None, out=print) -> int:
 
     spark = spark or SparkSession.builder.appName("tessera").config("spark.ui.enabled", "false").getOrCreate()
     catalog = Catalog(spark, args.data_dir)
-    vector = lambda: binary.raw_vectors(spark, args.file).head()["vector"]
+
+    def vector() -> list[float]:
+        got = binary.raw_vectors(spark, args.file).head(1)
+        if not got:
+            raise VectorError("DIM_TOO_SMALL", args.file)
+        return got[0]["vector"]
+
     try:
         if args.command == "create":
             catalog.create(args.name, args.dim, args.metric, args.model)
