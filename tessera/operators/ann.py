@@ -156,6 +156,6 @@ def int8_knn(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: st
 
 def recall(exact: DataFrame, approximate: DataFrame, id_col: str = "id") -> DataFrame:
     """(recall, k): how much of the exact result the approximate one has."""
-    n = exact.agg(F.count("*").alias("k"))
-    hit = exact.select(id_col).join(approximate.select(id_col).distinct(), id_col, "left_semi").agg(F.count("*").alias("hits"))
-    return hit.join(n, F.lit(True)).select(F.when(F.col("k") > 0, F.col("hits") / F.col("k")).alias("recall"), "k")
+    found = approximate.select(id_col, F.lit(1).alias("hit")).distinct()
+    counted = exact.select(id_col).join(found, id_col, "left").agg(F.count("hit").alias("hits"), F.count("*").alias("k"))
+    return counted.select(F.when(F.col("k") > 0, F.col("hits") / F.col("k")).alias("recall"), "k")

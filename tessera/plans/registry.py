@@ -352,16 +352,11 @@ def stream_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.plans.scratch import scratch
     from tessera.streaming import log_stream
 
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = log_stream.read_log_stream(spark, sf_dir, schema, glob="events.parquet") if not sf_dir.startswith("viewfs") else None
-    where = scratch(spark, "stream-lww")
+    schema = _events(spark, sf_dir).schema
+    where, columns = scratch(spark, "stream-lww"), ["user_id", "event_id", "event_type", "value"]
+    stream = log_stream.read_log_stream(spark, sf_dir, schema, glob="events.parquet")
     snapshot = log_stream.Snapshot(spark, f"{where}/state", ["user_id"], ["event_id"])
-    columns = ["user_id", "event_id", "event_type", "value"]
-    if stream is None:
-        snapshot.merge(spark.read.parquet(path).select(*columns), 0)
-    else:
-        log_stream.merge_into(stream.select(*columns), snapshot, f"{where}/checkpoint").awaitTermination()
+    log_stream.merge_into(stream.select(*columns), snapshot, f"{where}/checkpoint").awaitTermination()
     return snapshot.state(F.col("event_type") == "error").select(*columns)
 
 

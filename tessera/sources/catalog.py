@@ -76,7 +76,7 @@ class Catalog:
 
     # Rows
 
-    def _append(self, name: str, rows: DataFrame, op: int) -> None:
+    def _append(self, name: str, rows: DataFrame, op: int, may_compact: bool = True) -> None:
         m = self._manifest(name)
         folder = f"data/{name}/{m['generation']}/log-{uuid.uuid4().hex}"
         entry = rows.select(
@@ -87,7 +87,7 @@ class Catalog:
         m["next_batch"] += 1
         m["log"].append(folder)
         self._publish(m)
-        if len(m["log"]) >= self.compact_after:
+        if may_compact and len(m["log"]) >= self.compact_after:
             self.compact(name)
 
     def _checked(self, name: str, rows: DataFrame) -> DataFrame:
@@ -112,18 +112,12 @@ class Catalog:
         return n
 
     def upsert_batch(self, name: str, rows: DataFrame) -> DataFrame:
-        """As insert_batch; returns (id, created)."""
+        """As insert_batch; returns (id, created), which is read from the files published
+        before and holds until the next compaction."""
         rows = self._checked(name, rows)
         known = self.state(name).select("id", F.lit(False).alias("created"))
         flags = rows.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("created", F.lit(True)).alias("created"))
-        held = flags.collect() if rows.count() <= 10_000 else None
-        if held is None:
-            path = self.store.path(f"data/{name}/{self._manifest(name)['generation']}/upsert-{uuid.uuid4().hex}")
-            flags.write.parquet(path)
-            flags = self.spark.read.parquet(path)
-        else:
-            flags = self.spark.createDataFrame(held, "id string, created boolean")
-        self._append(name, rows, logs.INSERT)
+        self._append(name, rows, logs.INSERT, may_compact=False)
         return flags
 
     def insert(self, name: str, id_: str, vector: Sequence[float], metadata: str | None = None, strict: bool = False) -> None:
