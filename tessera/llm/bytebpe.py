@@ -1,7 +1,12 @@
-"""Byte-level BPE from a rank file: Spark folds ranked merges over the bytes of
-distinct words, documents are put together from their words' ids.
+"""Byte-level BPE from a rank file: ranked merges are folded over the bytes of distinct
+words, and documents are put together from their words' ids.
 
-The rank map is one literal value, an array of small maps by CRC-32 of the bytes, so
+Two forms do the same. ``digests`` and ``encoded`` fold in Python workers, which keep
+the words they have seen over all their tasks. ``encoded_by_spark`` folds with
+Spark's higher-order functions; there each partition encodes its distinct words anew,
+which costs more than the limits allow (README), so the query does not use it.
+
+For Spark the rank map is one literal value, an array of small maps by CRC-32 of the bytes, so
 a look-up is an index and a few comparisons. ``encode_words`` starts from a word's
 single bytes and folds: the state holds the pieces and the rank of each joined pair
 of neighbours; a step joins the leftmost pair of least rank and looks up the two
@@ -16,9 +21,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +40,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 BUCKETS = 1 << 16
 #: Distinct words that a partition numbers before it starts anew; memory only.
 MOST_WORDS = 1_500_000
+_NO_RANK = 1 << 40
 
 
 @lru_cache(maxsize=2)
@@ -168,8 +176,96 @@ def _assemble(batches: Iterator[pa.RecordBatch], known: list, per_word) -> Itera
                 at += n
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: the leftmost pair of least rank is joined until no pair
+    has a rank. A heap holds the pairs, so long words take n log n steps."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    if n <= 48:
+        parts = [word[i : i + 1] for i in range(n)]
+        pairs = [ranks.get(word[i : i + 2], _NO_RANK) for i in range(n - 1)]
+        while pairs and (least := min(pairs)) < _NO_RANK:
+            i = pairs.index(least)
+            new = parts[i] + parts[i + 1]
+            parts[i : i + 2] = [new]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + new, _NO_RANK)
+            if i < len(pairs):
+                pairs[i] = ranks.get(new + parts[i + 1], _NO_RANK)
+        return [ranks[x] for x in parts]
+    # end[i]: where the piece that starts at i ends, 0 if none starts there.
+    end, start = [i + 1 for i in range(n)] + [0], [0, *range(n)]
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        mid = end[i]
+        if not mid or mid >= n or end[mid] != stop or mid == stop:
+            continue
+        end[i], end[mid], start[stop] = stop, 0, i
+        if i and (r := ranks.get(word[start[i] : stop])) is not None:
+            heapq.heappush(heap, (r, start[i], stop))
+        if stop < n and (r := ranks.get(word[i : end[stop]])) is not None:
+            heapq.heappush(heap, (r, i, end[stop]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+class TextEncoder:
+    """What per_word makes of the ids of each word, over whole texts; memos of words
+    and of chunks bound the memory, not the result."""
+
+    def __init__(self, path: str, pattern: str, per_word, most: int = 400_000):
+        import regex
+
+        self.ranks, self.find, self.per_word, self.most = read_ranks(path), regex.compile(pattern).findall, per_word, most
+        self.words: dict[str, list] = {}
+        self.chunks = ChunkMemo(lambda chunk: [self.word(w) for w in self.find(chunk)], most)
+
+    def word(self, word: str):
+        known = self.words.get(word)
+        if known is None:
+            known = self.per_word(merged(word.encode(), self.ranks))
+            if len(word) <= 64:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                self.words[word] = known
+        return known
+
+    def __call__(self, text: str) -> list:
+        return list(chain.from_iterable(self.chunks(text)))
+
+
+@lru_cache(maxsize=4)
+def text_encoder(path: str, pattern: str, kind: str) -> TextEncoder:
+    """One encoder a worker; kind "ids" keeps ids, "digest" their number, decimals and
+    the concatenated pieces that they decode to."""
+    pieces = {i: t for t, i in read_ranks(path).items()}
+    digest = lambda ids: (len(ids), " ".join(map(str, ids)), b"".join(map(pieces.__getitem__, ids)))
+    return TextEncoder(path, pattern, list if kind == "ids" else digest)
+
+
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) of every row."""
+    """(doc_id, ids array<int>) of every row; null texts give no ids."""
+    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = text_encoder(path, pattern, "ids")
+        for batch in batches_of(batches, "text", 4 << 20):
+            ids = [list(chain.from_iterable(encode(t or ""))) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def encoded_by_spark(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) of every row, words encoded by encode_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, words in _assemble(batches, [], list):
@@ -198,30 +294,22 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     Null texts are empty and give no ids; rows that repeat are each encoded; other
     columns are ignored; an empty table gives an empty result.
     """
-    path = path or public_tokenizers.path(RANKS)
+    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    sha = lambda data: hashlib.sha256(data).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {i: t for t, i in read_ranks(path).items()}
-
-        def word(ids: list[int]) -> tuple[int, str, bytes]:
-            return len(ids), " ".join(map(str, ids)), b"".join(map(pieces.__getitem__, ids))
-
-        rows: list[tuple] = []
-
-        def out():
+        encode = text_encoder(path, pattern, "digest")
+        for batch in batches_of(batches, "text", 8 << 20):
+            rows = []
+            for text in batch.column("text").to_pylist():
+                words = encode(text) if text else ()
+                counts, decimal, data = zip(*words) if words else ((), (), ())
+                rows.append((sum(counts), sha(" ".join(decimal).encode()), sha(b"".join(data))))
             cols = list(zip(*rows))
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-        for doc_id, words in _assemble(batches, [], word):
-            counts, decimal, data = zip(*words) if words else ((), (), ())
-            rows.append((doc_id, sum(counts), hashlib.sha256(" ".join(decimal).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()))
-            if len(rows) >= 5000:
-                yield out()
-                rows.clear()
-        if rows:
-            yield out()
-
-    return encode_documents(docs, path, pattern).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield pa.record_batch([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

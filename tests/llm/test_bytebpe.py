@@ -18,6 +18,8 @@ def test_matches_the_library(spark):
     lib = reference()
     df = spark.createDataFrame([(i // 2, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_tokens string")
     want = sorted((i // 2, lib.encode_ordinary(t or "")) for i, t in enumerate(TEXTS))
+    by_spark = bytebpe.encoded_by_spark(df)
+    assert sorted((r.doc_id, list(r.ids)) for r in by_spark.collect()) == want
     ids = bytebpe.encoded(df)
     assert sorted((r.doc_id, list(r.ids)) for r in ids.collect()) == want
     assert sorted(bytes(r.bytes) for r in bytebpe.decoded(ids).collect()) == sorted((t or "").encode() for t in TEXTS)
@@ -36,3 +38,14 @@ def test_numbering_starts_anew_over_many_batches():
     assert all(r["starts"] for r in rows) and all(len(r["words"]) == 5 for r in rows)
     feed = [pa.RecordBatch.from_pylist([{**r, "ids": [[len(w)] for w in r["words"]]}]) for r in rows]
     assert [(d, w) for d, w in bytebpe._assemble(iter(feed), [], list)] == [(i, [[1], [1], [2], [2], [2], [2]]) for i in range(4)]
+
+
+def test_long_and_short_words_merge_alike():
+    import random
+
+    lib, rng = reference(), random.Random(5)
+    ranks = bytebpe.read_ranks(public_tokenizers.path(bytebpe.RANKS))
+    for n in (1, 2, 5, 30, 47, 48, 49, 50, 200, 3000):
+        for alphabet in ("a", "abcdefghijklmnopqrst", "etaoin shrd"):
+            word = "".join(rng.choice(alphabet.replace(" ", "")) for _ in range(n)).encode()
+            assert bytebpe.merged(word, ranks) == lib._core_bpe.encode_single_piece(word)
