@@ -10,7 +10,9 @@ by joining on its rank within its length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,37 +32,59 @@ _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long
 
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them, for a tokenizer that
-    drops white space: texts are encoded by words, and a bounded memo holds the
-    words seen, as little-endian unsigned 32-bit ids."""
+    drops white space and case and parts letters from signs: texts are encoded by
+    words. Two bounded memos hold what has been seen, as little-endian unsigned
+    32-bit ids: of words as they stand, and of their letters in lower case and the
+    signs behind them, which many words share."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 500_000):
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path)
-        self._memo: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
         self._most = memo
 
-    def _add(self, words: list[str]) -> dict[str, bytes]:
-        import numpy as np
-
+    def _encoded(self, words: list[str]) -> list[bytes]:
         got = self._encode.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, got)}
+        return [array("I", e.ids).tobytes() for e in got]
+
+    def _add(self, words: list[str]) -> None:
+        """Work out words, by their parts where they are plain letters and signs."""
+        parts, known, plain, other = self._parts, self._words, [], []
+        for w in words:
+            m = _PLAIN(w)
+            if m:
+                letters, signs = m.groups()
+                plain.append((w, letters.lower(), signs))
+            else:
+                other.append(w)
+        new = list({p for _, a, b in plain for p in (a, b)}.difference(parts))
+        if len(parts) + len(new) > 2 * self._most:
+            parts.clear()
+            new = list({p for _, a, b in plain for p in (a, b)})
+        parts.update(zip(new, self._encoded(new)))
+        for w, a, b in plain:
+            known[w] = parts[a] + parts[b]
+        known.update(zip(other, self._encoded(other)))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         words = [_words(t) for t in texts]
-        new = list(set().union(*words).difference(self._memo))
-        fresh = self._add(new)
-        if len(self._memo) + len(fresh) > self._most:
-            self._memo = {w: self._memo[w] for w in set().union(*words) if w in self._memo}
-        self._memo |= fresh
-        get = self._memo.__getitem__
+        seen = set().union(*words)
+        if len(self._words) > self._most:
+            self._words = {w: self._words[w] for w in seen if w in self._words}
+        new = list(seen.difference(self._words))
+        self._add(new)
+        get = self._words.__getitem__
         out = [b"".join(map(get, w)) for w in words]
         for w in new:
             if len(w) > 64:
-                del self._memo[w]
+                del self._words[w]
         return out
 
 
+#: Latin letters, none of which composes with another, and signs behind them.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 #: str.split() also parts at these, which are no white space to the tokenizer.
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
