@@ -22,6 +22,8 @@ passage that begins very many lines costs no more than lines of nearly equal len
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,12 @@ def _keys(line: Column, n: Column, max_edits: int, min_chars: int) -> tuple[Colu
     return keys, [p for _, p in mine + lower]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A value worked out once for a body that uses it often; in a lambda, any other
+    expression would be worked out again at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     """Whether two texts of lengths that differ by max_edits at most are within
     max_edits edits, by code points.
@@ -84,14 +92,10 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     """
     width = 2 * max_edits + 1
     full = (1 << width) - 1
-    x, y = F.split(a, ""), F.split(b, "")
     n, m = F.length(a), F.length(b)
 
-    def let(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    def column(s: Column, j: Column, letter: Column, at: Column) -> Column:
-        """s: the state after column j (from 0); at: the bit of the diagonal that
+    def column(x: Column, s: Column, j: Column, letter: Column, at: Column) -> Column:
+        """s: the state before column j (from 0); at: the bit of the diagonal that
         ends in the last cell."""
         eq = F.lit(0).cast("long")
         for i in range(width):
@@ -113,9 +117,9 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
                 stay = F.call_function("shiftright", d, at).bitwiseAND(F.lit(1))
                 return F.struct(nvp.bitwiseAND(F.lit(full)).alias("vp"), nvn.alias("vn"), (s["dist"] + 1 - stay).alias("dist"))
 
-            return let(d0, with_d0)
+            return _let(d0, with_d0)
 
-        return let(eq, with_eq)
+        return _let(eq, with_eq)
 
     # The diagonal through the last cell (row n, column m) is bit n - m + max_edits.
     # It starts at row n - m of column 0, whose distance is |n - m|.
@@ -125,11 +129,26 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
         F.lit((1 << max_edits) - 1).cast("long").alias("vn"),
         F.abs(n - m).cast("long").alias("dist"),
     )
-    columns = F.transform(y, lambda c, j: F.struct(c.alias("c"), j.alias("j")))
-    walked = F.aggregate(columns, start, lambda s, c: F.when(s["dist"] > max_edits, s).otherwise(column(s, c["j"], c["c"], at)), lambda s: s["dist"])
+    columns = F.transform(F.split(b, ""), lambda c, j: F.struct(c.alias("c"), j.alias("j")))
+    shift = F.struct(F.split(a, "").alias("x"), at.alias("at"))
+    step = lambda h, s, c: F.when(s["dist"] > max_edits, s).otherwise(column(h["x"], s, c["j"], c["c"], h["at"]))
+    walked = _let(shift, lambda h: F.aggregate(columns, start, lambda s, c: step(h, s, c), lambda s: s["dist"]))
     return F.when(m == 0, n <= max_edits).otherwise(walked <= max_edits)
 
 
+def share_segments(a: Column, b: Column, max_edits: int, parts: int = 12) -> Column:
+    """Whether all but max_edits of so many segments of a stand in b, moved by
+    max_edits characters at most: so it is for any two texts within max_edits edits."""
+    k = F.floor(F.length(a) / parts).cast("int")
+    found = F.lit(0)
+    for i in range(parts):
+        at = k * i + 1
+        begin = F.greatest(at - max_edits, F.lit(1))
+        near = F.substring(b, begin, k + (at - begin) + max_edits)
+        found = found + F.contains(near, F.substring(a, at, k)).cast("int")
+    return found >= parts - max_edits
+
+
 def distinct_lines(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """(h1, h2, n, keys, first, times) of each distinct line; first is its first
     occurrence as ord * 2^31 + pos."""
@@ -182,6 +201,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, max_edits: int, min_chars:
     pairs = a.join(b, met).select(*side("a"), *side("b")).distinct()
     text = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("ord", "pos", "n", "line")])
     both = pairs.join(text("a"), ["a_ord", "a_pos", "a_n"]).join(text("b"), ["b_ord", "b_pos", "b_n"])
+    both = both.where(share_segments(F.col("a_line"), F.col("b_line"), max_edits))
     return both.where(within_edits(F.col("a_line"), F.col("b_line"), max_edits)).select(F.col("b_ord").alias("ord"), F.col("b_pos").alias("pos")).distinct()
 
 
@@ -220,9 +240,12 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, group_
     hit = hit.join(dropped.withColumnRenamed("ord", "__ord"), "__ord", "left")
     none = F.array().cast("array<int>")
     gone = F.concat(F.coalesce("repeated_at", none), F.coalesce("near_at", none))
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(F.size(gone) == 0, F.col("text")).otherwise(_let(F.split("text", "\n"), rest))
     count = lambda c: F.size(F.coalesce(c, none)).cast("long")
     hit = hit.withColumns({"n_lines": n_lines, "n_repeated": count("repeated_at"), "n_near": count("near_at")}).withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(text))
     return spared.unionByName(hit.select(spared.columns))

@@ -36,7 +36,8 @@ def test_bit_parallel_distance(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     for k in (1, 2):
         near = df.where(f"abs(length(a) - length(b)) <= {k}")
-        got = near.select("a", "b", lines.within_edits(near.a, near.b, k).alias("w")).collect()
+        got = near.select("a", "b", lines.within_edits(near.a, near.b, k).alias("w"), lines.share_segments(near.a, near.b, k).alias("s")).collect()
+        assert all(r.s for r in got if r.w)
         assert got and all(r.w == (distance(r.a, r.b) <= k) for r in got), [(r, distance(r.a, r.b)) for r in got if r.w != (distance(r.a, r.b) <= k)][:5]
 
 
