@@ -35,9 +35,10 @@ class WordEncoder:
     drops white space and case and parts letters from signs: texts are encoded by
     words. Two bounded memos hold what has been seen, as little-endian unsigned
     32-bit ids: of words as they stand, and of their letters in lower case and the
-    signs behind them, which many words share."""
+    signs behind them, which many words share. Workers live on after a stage, so
+    the memos leave room for the stages that follow."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 300_000):
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path)
@@ -46,8 +47,11 @@ class WordEncoder:
         self._most = memo
 
     def _encoded(self, words: list[str]) -> list[bytes]:
-        got = self._encode.encode_batch_fast(words, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in got]
+        out: list[bytes] = []
+        for i in range(0, len(words), 4096):  # the library's results are large
+            got = self._encode.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in got]
+        return out
 
     def _add(self, words: list[str]) -> None:
         """Work out words, by their parts where they are plain letters and signs."""
