@@ -244,7 +244,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     at = ordinal(F.col("doc_id"))
     spared = in_bitmap(docs, at, rejected, F.col("ord"), keep=False)
     doubtful = in_bitmap(docs, at, rejected, F.col("ord")).withColumn("__ord", at)
-    return spared.unionByName(doubtful.join(rejected.withColumnRenamed("ord", "__ord"), "__ord", "left_anti").drop("__ord"))
+    return spared.unionByName(doubtful.join(rejected.withColumnRenamed("ord", "__ord").hint("merge"), "__ord", "left_anti").drop("__ord"))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

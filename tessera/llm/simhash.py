@@ -254,7 +254,7 @@ def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     they are. Rows with a null doc_id stay. Rows that repeat the kept doc_id stay
     with it when their component says so."""
     kept = simhash_components(docs.select("doc_id", "text"), width, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
+    return docs.where("doc_id is null").unionByName(docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
