@@ -16,6 +16,7 @@ Pairs are formed where lengths and letter counts allow the edits, and verified b
 a banded bit-parallel edit distance (Hyyro, 2003): the 2 max_edits + 1 cells of a
 column around the diagonal are one machine word.
 
+None of these tables has a bound, so their joins are sort-merge joins at every size.
 Groups of more than ``group_rows`` lines are split by length before pairs form, so a
 passage that begins very many lines costs no more than lines of nearly equal length.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import in_bitmap, materialize, ordinal, read_table
 
 #: Letters whose counts are compared before two lines are; any other count as one.
-LETTERS = ("e", "n", "a", "t", "i", "o", "r", "s")
+LETTERS = tuple("etaoinsrhldcumfpgwybvk .,")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -178,10 +179,10 @@ def near_lines(docs: DataFrame, distinct: DataFrame, max_edits: int, min_chars:
     line = F.col("line")
     counts = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("short") for c in LETTERS]
     # Rows that repeat a document give the line twice, or two lines at one place; the key's line is told by its length first.
-    texts = _lines(some).join(wanted, ["ord", "pos"], "left_semi").select("ord", "pos", F.length(line).alias("n"), "line", F.array(*counts).alias("letters")).distinct()
+    texts = _lines(some).join(wanted.hint("merge"), ["ord", "pos"], "left_semi").select("ord", "pos", F.length(line).alias("n"), "line", F.array(*counts).alias("letters")).distinct()
     texts = materialize(texts, "line-texts")
 
-    marked = shared.join(texts.select("ord", "pos", "n", "letters"), ["ord", "pos", "n"])
+    marked = shared.join(texts.select("ord", "pos", "n", "letters").hint("merge"), ["ord", "pos", "n"])
     small = marked.where(F.col("size") <= group_rows).select("key", "ord", "pos", "n", "letters", "probe", F.lit(False).alias("later"))
     # In a large group a line is indexed under its length and probes the lengths below.
     large = marked.where(F.col("size") > group_rows).select(
@@ -200,7 +201,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, max_edits: int, min_chars:
     side = lambda s: [F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in ("ord", "pos", "n")]
     pairs = a.join(b, met).select(*side("a"), *side("b")).distinct()
     text = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("ord", "pos", "n", "line")])
-    both = pairs.join(text("a"), ["a_ord", "a_pos", "a_n"]).join(text("b"), ["b_ord", "b_pos", "b_n"])
+    both = pairs.join(text("a").hint("merge"), ["a_ord", "a_pos", "a_n"]).join(text("b").hint("merge"), ["b_ord", "b_pos", "b_n"])
     both = both.where(share_segments(F.col("a_line"), F.col("b_line"), max_edits))
     return both.where(within_edits(F.col("a_line"), F.col("b_line"), max_edits)).select(F.col("b_ord").alias("ord"), F.col("b_pos").alias("pos")).distinct()
 
@@ -222,7 +223,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, group_
     near = materialize(near_lines(docs, distinct, max_edits, min_chars, group_rows), "lines-near")
     occurrences = _lines(docs).select("ord", "pos", _hash(1, F.col("line")).alias("h1"), _hash(2, F.col("line")).alias("h2"))
     first = distinct.where("times > 1").select("h1", "h2", F.col("ord").alias("first_ord"), F.col("pos").alias("first_pos"))
-    repeated = occurrences.join(first, ["h1", "h2"]).where("ord <> first_ord or pos <> first_pos").select("ord", "pos", F.lit(False).alias("near"))
+    repeated = occurrences.join(first.hint("merge"), ["h1", "h2"]).where("ord <> first_ord or pos <> first_pos").select("ord", "pos", F.lit(False).alias("near"))
     dropped = (
         repeated.unionByName(near.withColumn("near", F.lit(True)))
         .groupBy("ord")
@@ -237,7 +238,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, group_
     spared = in_bitmap(rows, ordinal(F.col("doc_id")), dropped, F.col("ord"), keep=False)
     spared = spared.withColumns({"n_lines": n_lines, "n_repeated": zero, "n_near": zero})
     hit = in_bitmap(rows, ordinal(F.col("doc_id")), dropped, F.col("ord")).withColumn("__ord", ordinal(F.col("doc_id")))
-    hit = hit.join(dropped.withColumnRenamed("ord", "__ord"), "__ord", "left")
+    hit = hit.join(dropped.withColumnRenamed("ord", "__ord").hint("merge"), "__ord", "left")
     none = F.array().cast("array<int>")
     gone = F.concat(F.coalesce("repeated_at", none), F.coalesce("near_at", none))
 
