@@ -9,7 +9,7 @@ Scores are rounded before they are ranked, and equal scores rank by id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from tessera import validate
 from tessera.errors import VectorError
 from tessera.functions import filters, kernels
+from tessera.plans.scratch import scratch
 
-#: Queries that one pass takes at most; their matrix goes to every task.
+#: Queries that one pass takes at most, about; their matrix goes to every task.
 MOST_QUERIES = 10_000
 
 
@@ -67,17 +68,48 @@ def score_matrix(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", where: str | None = None, id_col: str = "id", query_id_col: str = "qid", vector_col: str = "vector", digits: int = 6) -> DataFrame:
-    """(qid, id, score, rank) of the k nearest vectors of each of a bounded set of
-    queries, which must be of one dimension."""
+    """(qid, id, score, rank) of the k nearest vectors of each query; the queries must
+    be of one dimension. More than MOST_QUERIES go in blocks, one pass over the vectors
+    each, whose results are written to scratch space."""
     metric = validate.metric(metric)
-    got = queries.select(F.col(query_id_col).cast("long").alias("qid"), F.col(vector_col)).limit(MOST_QUERIES + 1).collect()
-    if len(got) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries a pass")
-    if len({len(r[1]) for r in got}) > 1:
+    asked = queries.select(F.col(query_id_col).cast("long").alias("qid"), F.col(vector_col).alias("q"))
+    rows = filters.apply(vectors, where)
+
+    def one(got: list) -> DataFrame:
+        mine = rows.where(F.size(vector_col) == len(got[0][1])).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+        return _nearest(mine, got, k, metric, digits)
+
+    return by_blocks(asked, one)
+
+
+def by_blocks(asked: DataFrame, one: Callable[[list], DataFrame]) -> DataFrame:
+    """What one makes, as (qid, id, score, rank), of (qid, q) queries of one dimension."""
+    spark = asked.sparkSession
+    said = asked.agg(F.count("*").alias("n"), F.min(F.size("q")).alias("least"), F.max(F.size("q")).alias("most")).head()
+    if said["least"] != said["most"]:
         raise VectorError("DIM_MISMATCH", "queries differ in dimension")
+    if not said["n"]:
+        return spark.createDataFrame([], "qid long, id long, score double, rank long")
+    blocks = -(-said["n"] // MOST_QUERIES)
+    if blocks == 1:
+        return one(asked.collect())
+    out = scratch(spark, "knn-batch")
+    for i in range(blocks):
+        got = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect()
+        if got:
+            one(got).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
+def ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """The k best (qid, id, score) of each query, with their rank."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*_order(metric, "id"))).cast("long")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(rows: DataFrame, got: list, k: int, metric: str, digits: int) -> DataFrame:
+    """One pass over (id, vector) rows for a block of (qid, q) queries."""
     schema = "qid long, id long, score double"
-    if not got:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank long")
     qids, matrix = np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64)
     closer = 1.0 if kernels.ascending(metric) else -1.0
 
@@ -93,10 +125,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
                     best = np.lexsort((ids, closer * s[i]))[:k]
                     yield pa.record_batch([np.full(len(best), qids[a + i]), ids[best], s[i][best]], names=["qid", "id", "score"])
 
-    rows = filters.apply(vectors, where).where(F.size(vector_col) == matrix.shape[1])
-    found = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*_order(metric, "id"))).cast("long")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked(rows.mapInArrow(run, schema), k, metric)
 
 
 def pairwise(a: DataFrame, b: DataFrame, metric: str, a_id: str = "id", b_id: str = "id", vector_col: str = "vector", digits: int = 6) -> DataFrame:
