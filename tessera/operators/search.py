@@ -129,9 +129,14 @@ def _nearest(rows: DataFrame, got: list, k: int, metric: str, digits: int) -> Da
 
 
 def pairwise(a: DataFrame, b: DataFrame, metric: str, a_id: str = "id", b_id: str = "id", vector_col: str = "vector", digits: int = 6) -> DataFrame:
-    """(a_id, b_id, value) of a bounded set against all rows of b: the distance for
-    cosine and l2, the product for dot."""
-    small = F.broadcast(a.select(F.col(a_id).alias("a_id"), F.col(vector_col).alias("a_vec")).limit(MOST_QUERIES))
+    """(a_id, b_id, value) of all rows of a against all rows of b of their dimension:
+    the distance for cosine and l2, the product for dot. Up to MOST_QUERIES rows of a
+    are broadcast; more meet b partition by partition."""
+    left = a.select(F.col(a_id).alias("a_id"), F.col(vector_col).alias("a_vec"))
+    right = b.select(F.col(b_id).alias("b_id"), F.col(vector_col).alias("b_vec"))
     kernel = {"dot": kernels.dot, "cosine": kernels.cosine_distance, "l2": kernels.l2_distance}[validate.metric(metric)]
-    both = b.select(F.col(b_id).alias("b_id"), F.col(vector_col).alias("b_vec")).join(small, F.size("a_vec") == F.size("b_vec"))
+    if left.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        both = right.join(F.broadcast(left), F.size("a_vec") == F.size("b_vec"))
+    else:  # a difference, as an equality would deal all rows of a dimension to one task
+        both = right.join(left.hint("shuffle_replicate_nl"), F.size("a_vec") - F.size("b_vec") == 0)
     return both.select("a_id", "b_id", F.round(kernel(F.col("a_vec"), F.col("b_vec")), digits).alias("value"))

@@ -20,3 +20,15 @@ def test_batch_goes_through_queries_in_blocks(rows, monkeypatch, metric):
     scores = np.round(search.score_matrix(metric, v[asked], v), 6)
     want = {q: np.lexsort((np.arange(400), s if kernels.ascending(metric) else -s))[:5].tolist() for q, s in zip(asked, scores)}
     assert {q: [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.qid == q] for q in asked} == want and len(got) == 100
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_pairwise_keeps_every_row_of_the_left_side(rows, monkeypatch, metric):
+    df, v = rows
+    monkeypatch.setattr(search, "MOST_QUERIES", 6)
+    got = {(r.a_id, r.b_id): r["value"] for r in search.pairwise(df.where("id % 20 = 0"), df, metric).collect()}
+    asked = list(range(0, 400, 20))
+    want = search.score_matrix(metric, v[asked], v)
+    want = 1 - want if metric == "cosine" else want
+    assert len(got) == 20 * 400
+    assert max(abs(got[q, j] - want[i, j]) for i, q in enumerate(asked) for j in range(400)) < 2e-6
