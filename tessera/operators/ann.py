@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from tessera import validate
 from tessera.functions import kernels
 from tessera.operators import search
 
+_FOUND = "qid long, id long, score double"
+
 #: Rows that centroids and codebooks are fitted on at most; those of least hash.
 FIT_ROWS = 50_000
 
@@ -42,6 +44,37 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarray:
     return c
 
 
+def _asked(queries: DataFrame, query_id_col: str, vector_col: str) -> DataFrame:
+    return queries.select(F.col(query_id_col).cast("long").alias("qid"), F.col(vector_col).alias("q"))
+
+
+def _masked(table: DataFrame, id_col: str, vector_col: str, code: str, got: list, k: int, metric: str, may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(qid, id, score, rank) of the k best of each (qid, q) query among the rows that
+    may allows: of a slice of the queries' numbers and a batch's codes it makes a
+    matrix of booleans."""
+    qids, matrix = np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64)
+    closer = 1.0 if kernels.ascending(metric) else -1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column("id"))
+            if not len(ids):
+                continue
+            v = np.asarray(batch.column("vector").flatten()).reshape(len(ids), -1)
+            codes = batch.column("code")
+            codes = np.asarray(codes.flatten()).reshape(len(ids), -1) if pa.types.is_list(codes.type) else np.asarray(codes)[:, None]
+            for a in range(0, len(qids), 256):
+                allowed = may(np.arange(a, min(a + 256, len(qids))), codes)
+                for i in range(len(allowed)):
+                    own = np.flatnonzero(allowed[i])
+                    s = np.round(search.score_matrix(metric, matrix[a + i : a + i + 1], v[own])[0], 6)
+                    best = np.lexsort((ids[own], closer * s))[:k]
+                    yield pa.record_batch([np.full(len(best), qids[a + i]), ids[own][best], s[best]], names=["qid", "id", "score"])
+
+    rows = table.where(F.size(vector_col) == matrix.shape[1]).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.col(code).alias("code"))
+    return search.ranked(rows.mapInArrow(run, _FOUND), k, metric)
+
+
 def with_codes(vectors: DataFrame, vector_col: str, name: str, code: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """vectors with a column of what code makes of each Arrow batch's matrix: an int a
     row, or an array of ints."""
@@ -88,6 +121,19 @@ class IvfIndex:
         cells = [int(c) for c in np.argsort(gap, kind="stable")[:probes]]
         return search.knn(self.table.where(F.col("cell").isin(cells)), query, k, metric, where, self.id_col, self.vector_col).drop("cell")
 
+    def search_batch(self, queries: DataFrame, k: int = 10, metric: str = "l2", probes: int = 4, query_id_col: str = "qid") -> DataFrame:
+        """(qid, id, score, rank) of each query."""
+        metric = validate.metric(metric)
+
+        def one(got: list) -> DataFrame:
+            q = np.array([r[1] for r in got], np.float64)
+            gaps = np.stack([((self.centroids - x) ** 2).sum(1) for x in q])
+            probed = np.zeros(gaps.shape, bool)
+            np.put_along_axis(probed, np.argsort(gaps, axis=1, kind="stable")[:, :probes], True, axis=1)
+            return _masked(self.table, self.id_col, self.vector_col, "cell", got, k, metric, lambda at, codes: probed[at][:, codes[:, 0]])
+
+        return search.by_blocks(_asked(queries, query_id_col, self.vector_col), one)
+
 
 @dataclass
 class LshIndex:
@@ -112,6 +158,24 @@ class LshIndex:
         same = F.exists(F.zip_with("buckets", F.array(*[F.lit(b) for b in own]), lambda x, y: x == y), lambda hit: hit)
         return search.knn(self.table.where(same), query, k, metric, None, self.id_col, self.vector_col).drop("buckets")
 
+    def search_batch(self, queries: DataFrame, k: int = 10, metric: str = "cosine", query_id_col: str = "qid") -> DataFrame:
+        """(qid, id, score, rank) of each query."""
+        metric = validate.metric(metric)
+
+        def one(got: list) -> DataFrame:
+            q = np.array([r[1] for r in got], np.float64)
+            own = np.stack([(q @ p.T > 0) @ (1 << np.arange(p.shape[0])) for p in self.planes], axis=1)
+
+            def may(at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+                hit = np.zeros((len(at), len(codes)), bool)
+                for t in range(codes.shape[1]):
+                    hit |= own[at, t][:, None] == codes[None, :, t]
+                return hit
+
+            return _masked(self.table, self.id_col, self.vector_col, "buckets", got, k, metric, may)
+
+        return search.by_blocks(_asked(queries, query_id_col, self.vector_col), one)
+
 
 @dataclass
 class PqIndex:
@@ -143,6 +207,35 @@ class PqIndex:
         rough = self.table.withColumn("rough", sum(gaps[1:], gaps[0])).orderBy("rough", self.id_col).limit(rerank).drop("rough", "codes")
         return search.knn(rough, query, k, "l2", None, self.id_col, self.vector_col)
 
+    def search_batch(self, queries: DataFrame, k: int = 10, rerank: int = 100, query_id_col: str = "qid") -> DataFrame:
+        """(qid, id, score, rank) of each query by l2: of all rows the best rerank of the
+        rough distances, ranked exactly."""
+
+        def one(got: list) -> DataFrame:
+            qids, matrix, books = np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64), self.books
+            ends = np.cumsum([b.shape[1] for b in books])
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    ids = np.asarray(batch.column("id"))
+                    if not len(ids):
+                        continue
+                    v = np.asarray(batch.column("vector").flatten()).reshape(len(ids), -1)
+                    codes = np.asarray(batch.column("code").flatten()).reshape(len(ids), -1)
+                    for qid, q in zip(qids, matrix):
+                        rough = sum(((b - q[e - b.shape[1] : e]) ** 2).sum(1)[codes[:, j]] for j, (b, e) in enumerate(zip(books, ends)))
+                        best = np.lexsort((ids, rough))[:rerank]
+                        score = np.round(search.score_matrix("l2", q[None, :], v[best])[0], 6)
+                        yield pa.record_batch([np.full(len(best), qid), ids[best], score, rough[best]], names=["qid", "id", "score", "rough"])
+
+            rows = self.table.where(F.size(self.vector_col) == matrix.shape[1])
+            rows = rows.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.vector_col).alias("vector"), F.col("codes").alias("code"))
+            place = F.row_number().over(Window.partitionBy("qid").orderBy("rough", "id"))
+            found = rows.mapInArrow(run, _FOUND + ", rough double").withColumn("place", place).where(F.col("place") <= rerank)
+            return search.ranked(found.select("qid", "id", "score"), k, "l2")
+
+        return search.by_blocks(_asked(queries, query_id_col, self.vector_col), one)
+
 
 def int8_knn(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: str = "dot", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """Search over vectors kept as bytes; the query is quantized alike."""
@@ -159,3 +252,11 @@ def recall(exact: DataFrame, approximate: DataFrame, id_col: str = "id") -> Data
     found = approximate.select(id_col, F.lit(1).alias("hit")).distinct()
     counted = exact.select(id_col).join(found, id_col, "left").agg(F.count("hit").alias("hits"), F.count("*").alias("k"))
     return counted.select(F.when(F.col("k") > 0, F.col("hits") / F.col("k")).alias("recall"), "k")
+
+
+def mean_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
+    """(recall, k): how much of the exact result of each query the approximate one has,
+    on average over the queries that have any; k is the most rows of one."""
+    found = approximate.select("qid", "id", F.lit(1).alias("hit")).distinct()
+    counted = exact.select("qid", "id").join(found, ["qid", "id"], "left").groupBy("qid").agg(F.count("hit").alias("hits"), F.count("*").alias("k"))
+    return counted.agg(F.round(F.avg(F.col("hits") / F.col("k")), 6).alias("recall"), F.max("k").alias("k"))
