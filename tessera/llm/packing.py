@@ -15,12 +15,15 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import WHITE, chunks_of
 from tessera.llm.common import batches_of, materialize, read_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,80 +33,125 @@ RANK_PARTS = 1024
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    """The tokenizer, and of each id whether it ends a pre-token. Some 40 MB that a
+    worker keeps, whatever it encodes."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    return library, np.array([(library.id_to_token(i) or "").endswith("</w>") for i in range(library.get_vocab_size())])
+
+
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them, for a tokenizer that
-    drops white space and case and parts letters from signs: texts are encoded by
-    words. Two bounded memos hold what has been seen, as little-endian unsigned
-    32-bit ids: of words as they stand, and of their letters in lower case and the
-    signs behind them, which many words share. Workers live on after a stage, so
-    the memos leave room for the stages that follow."""
-
-    def __init__(self, path: str, memo: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self._encode = Tokenizer.from_file(path)
-        self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+    drops white space and case and parts letters, digits and signs: a text is encoded
+    by its pre-tokens, each distinct one once as long as it is remembered. Ids are
+    little-endian unsigned 32-bit. The memo is bounded, holds short pre-tokens only and
+    lives as long as the task that made the encoder."""
+
+    def __init__(self, path: str, memo: int = 250_000):
+        self._encode, self._ends = _library(path)
+        self._known: dict[str, bytes] = {}
         self._most = memo
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
+    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(words), 4096):  # the library's results are large
-            got = self._encode.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)
+        for i in range(0, len(chunks), 1024):  # the library's results are large
+            got = self._encode.encode_batch_fast(chunks[i : i + 1024], add_special_tokens=False)
             out += [array("I", e.ids).tobytes() for e in got]
         return out
 
-    def _add(self, words: list[str]) -> None:
-        """Work out words, by their parts where they are plain letters and signs."""
-        parts, known, plain, other = self._parts, self._words, [], []
-        for w in words:
-            m = _PLAIN(w)
-            if m:
-                letters, signs = m.groups()
-                plain.append((w, letters.lower(), signs))
+    def _encoded(self, tokens: list[str]) -> list[bytes]:
+        """The ids of plain pre-tokens, many at a time with blanks between."""
+        out: list[bytes] = []
+        for i in range(0, len(tokens), 512):
+            part = tokens[i : i + 512]
+            (got,) = self._encode.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(ends) != len(part):
+                out += self._one_by_one(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(data[at:end])
+                at = end
+        return out
+
+    def _tokens(self, text: str) -> tuple[list[str], list[str]]:
+        """The keys whose ids make up the text, and those of them that are no plain
+        pre-tokens but chunks between white space."""
+        if not _ODD(text) and "<|" not in text:
+            return _PRE_TOKENS(text.lower()), []
+        out, other = [], []
+        for chunk in chunks_of(text):
+            if _ODD(chunk) or "<|" in chunk:
+                key = "\0" + chunk  # no plain pre-token begins so
+                out.append(key)
+                other.append(key)
             else:
-                other.append(w)
-        new = list({p for _, a, b in plain for p in (a, b)}.difference(parts))
-        if len(parts) + len(new) > 2 * self._most:
-            parts.clear()
-            new = list({p for _, a, b in plain for p in (a, b)})
-        parts.update(zip(new, self._encoded(new)))
-        for w, a, b in plain:
-            known[w] = parts[a] + parts[b]
-        known.update(zip(other, self._encoded(other)))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        words = [_words(t) for t in texts]
-        seen = set().union(*words)
-        if len(self._words) > self._most:
-            self._words = {w: self._words[w] for w in seen if w in self._words}
-        new = list(seen.difference(self._words))
-        self._add(new)
-        get = self._words.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
+                out += _PRE_TOKENS(chunk.lower())
+        return out, other
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text in turn; work and memory go by SLICE characters."""
+        for group in _groups(texts):
+            done = iter(self._ids([part for parts in group for part in parts]))
+            for parts in group:
+                yield b"".join(islice(done, len(parts)))
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        split, other = [], []
+        for part in parts:
+            tokens, chunks = self._tokens(part)
+            split.append(tokens)
+            other += chunks
+        known, seen = self._known, set().union(*split)
+        new = seen.difference(known)
+        if len(known) + len(new) > self._most:  # what is in use now is kept
+            self._known = known = {w: known[w] for w in seen.difference(new)}
+        chunks = list(new.intersection(other))
+        plain = list(new.difference(chunks))
+        known.update(zip(plain, self._encoded(plain)))
+        known.update(zip(chunks, self._one_by_one([c[1:] for c in chunks])))
+        out = [b"".join(map(known.__getitem__, tokens)) for tokens in split]
         for w in new:
             if len(w) > 64:
-                del self._words[w]
+                del known[w]
         return out
 
 
-#: Latin letters, none of which composes with another, and signs behind them.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
-#: str.split() also parts at these, which are no white space to the tokenizer.
-_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Characters of a text that are taken at once; longer texts are cut at white space.
+SLICE = 1 << 18
+_CUT = re.compile(f"[{WHITE}]").search
+#: What is not surely plain: all but printable ASCII, plain blanks and Latin letters,
+#: none of which composes with another.
+_ODD = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]").search
+#: The tokenizer's pre-tokens of a plain text in lower case.
+_PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\t-\r 0-9a-zà-öø-ÿß]+").findall
 
 
-def _words(text: str) -> list[str]:
-    if any(c in text for c in _CONTROLS):
-        from tessera.llm.bpe import chunks_of
+def _slices(text: str) -> list[str]:
+    """The text in parts that begin with white space; no pre-token spans two."""
+    out, at = [], 0
+    while len(text) - at > SLICE and (cut := _CUT(text, at + SLICE)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
 
-        return chunks_of(text)
-    return text.split()
 
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _groups(texts: list[str]) -> Iterator[list[list[str]]]:
+    """The texts in groups, each text as its parts; groups end behind SLICE characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(_slices(text))
+        size += len(text)
+        if size > SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -113,10 +161,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches_of(batches, "text", 8 << 20):
+        own = WordEncoder(path)
+        for batch in batches_of(batches, "text", 2 << 20):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode_all([t or "" for t in batch.column("text").to_pylist()])):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
