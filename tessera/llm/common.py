@@ -53,6 +53,13 @@ def ordinal(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
 
 
+def row_keys(*others: Column) -> list[Column]:
+    """(ord, rk): what tells rows of documents apart, with or without a doc_id of their
+    own: doc_id as a long, nulls first, and a hash of doc_id, text and others. Rows
+    equal in all of these are one row twice."""
+    return [ordinal(F.col("doc_id")).alias("ord"), F.xxhash64("doc_id", "text", *others).alias("rk")]
+
+
 def in_bitmap(rows: DataFrame, value: Column, members: DataFrame, member: Column, keep: bool = True) -> DataFrame:
     """Rows whose value may be among the members, or with keep false the others:
     those that surely are not. The members' hashes are a bitmap of 1 MiB,

@@ -1,16 +1,23 @@
-"""Near copies by the similarity of their shingle sets, exactly.
+"""Near copies by the similarity of their shingle sets: SimHash first, then exactly.
 
 Texts are sets of the hashes of their five-word shingles; two are near copies if the
-Jaccard similarity of their sets is 0.8 or more. Fingerprints can't find these without
-loss (at 0.8 they differ in some 9 of 64 bits, in more by chance), so candidates come
-from prefixes: with all sets in the order of the hashes, two sets that similar share
-one of the least n - ceil(0.8 n) + 1 hashes of each. Of the sets that share one, those
-go on whose lengths, counts by 64 hash buckets and number of shared prefix hashes
-allow the overlap, and the sets themselves decide.
-
-Equal sets are one class before any search. Candidates are formed twice: first each
-set with the first of its group only, then the pairs that the links so found leave in
-different components. So a group of near copies yields few pairs, and none is lost.
+Jaccard similarity of their sets is 0.8 or more. Candidates come from three searches:
+
+* SimHash fingerprints of the sets, linked over the Gray-order index (simhash.links).
+  At 0.8 two fingerprints differ in some 9 of 64 bits, in more by chance, so this finds
+  the closest copies cheaply and can't find all.
+* Prefixes: with all sets in the order of the hashes, two sets that similar share one of
+  the least n - ceil(0.8 n) + 1 hashes of each. Of the sets that share one, stars first:
+  each with the first of about its size.
+* The same groups again, now all pairs that the links so found leave in different
+  components. So a group of near copies yields few pairs, and none is lost.
+
+Pairs that share a prefix hash go on where a parity sketch allows it: as many bits as the
+set has hashes, each flipped by the hashes that fall on it. Two sets differ in at least
+as many hashes as their sketches in bits. The sets themselves then decide.
+
+Equal sets are one class before any search. Groups of more than TILE sets are dealt to
+tiles, and pairs of tiles to tasks.
 """
 
 from __future__ import annotations
@@ -19,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches_of, connected_components, in_bitmap, materialize
+from tessera.llm import simhash
+from tessera.llm.common import batches_of, connected_components, in_bitmap, materialize, row_keys
 from tessera.llm.simhash import shingle_hashes
 
 WIDTH = 5
-BUCKETS = 64
 BLOCK = 256
+TILE = 4096
+NO_ID = (1 << 63) - 1
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -41,30 +50,50 @@ def _class(hashes: np.ndarray) -> int:
     return xxh64_intdigest(hashes.tobytes(), 7)
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """The sketch of a set: a power of two of bits, 64 or more and no fewer than the set
+    has hashes; bit h mod their number is flipped by each hash h."""
+    bits = max(64, 1 << (max(len(hashes), 1) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _keys() -> list[Column]:
+    """common.row_keys, rows without a doc_id last."""
+    ord_, rk = row_keys()
+    return [F.when(F.col("doc_id").isNull(), F.lit(NO_ID)).otherwise(ord_).alias("ord"), rk]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return docs.select(*_keys(), F.col("text").cast("binary").alias("text"))
 
 
 def _signed(values: list) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, n, prefix, sketch) of each row of docs."""
+def _sketched(docs: DataFrame) -> DataFrame:
+    """(ord, rk, cls, n, fp, sketch, prefix) of each row of docs; the last three only
+    where a task sees a class for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches_of(batches, "text", 4 << 20):
-            cls, n, prefix, sketch = [], [], [], []
+            cls, n, fp, sketch, prefix = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text)
                 cls.append(_class(hashes))
                 n.append(len(hashes))
-                prefix.append(hashes[: len(hashes) - -(-4 * len(hashes) // 5) + 1].view(np.int64))
-                sketch.append(np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.int32).tobytes())
-            columns = [batch.column("doc_id"), _signed(cls), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.record_batch(columns, names=["doc_id", "cls", "n", "prefix", "sketch"])
+                first = cls[-1] not in seen
+                seen.add(cls[-1])
+                bits = np.packbits(simhash.majority(hashes) * 2 > len(hashes)).tobytes() if first else b""
+                fp.append(int.from_bytes(bits, "big", signed=True) if first else None)
+                sketch.append(parity(hashes) if first else None)
+                prefix.append(hashes[: len(hashes) - -(-4 * len(hashes) // 5) + 1].view(np.int64) if first else None)
+            columns = [batch.column("ord"), batch.column("rk"), _signed(cls), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["ord", "rk", "cls", "n", "fp", "sketch", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, cls long, n int, prefix array<long>, sketch binary")
+    return _texts(docs).mapInArrow(run, "ord long, rk long, cls long, n int, fp long, sketch binary, prefix array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -75,68 +104,108 @@ def _sets(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([_signed([_class(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "hashes"])
 
-    return _texts(docs).mapInArrow(run, "cls long, hashes array<long>")
+    return _texts(docs).select("text").mapInArrow(run, "cls long, hashes array<long>")
+
+
+def _folded(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def _may(n: np.ndarray, sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows may be 0.8 similar: sets that are differ in at most a ninth
+    of their hashes."""
+    out, step = np.zeros(len(i), bool), max(64, (1 << 20) // sketches.shape[1])
+    for k in range(0, len(i), step):
+        p, q = i[k : k + step], j[k : k + step]
+        differ = np.bitwise_count(sketches[p] ^ sketches[q]).sum(axis=1, dtype=np.int64)
+        out[k : k + step] = 9 * differ <= n[p] + n[q]
+    return out
 
 
-def group_pairs(n: np.ndarray, sketch: np.ndarray, component: np.ndarray, stars: bool) -> tuple[np.ndarray, np.ndarray]:
+def group_pairs(n: np.ndarray, sketch: list[bytes], component: np.ndarray, tile: np.ndarray | None, stars: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places (a, b) in a group that shares a hash, sorted by n, whose sets may be
-    similar enough and lie in different components; with stars only those of the
-    first member."""
+    similar enough and lie in different components, and in different tiles where tiles
+    are given; with stars only those of the first member of about the size."""
     us, vs = [], []
-    for a in range(0, 1 if stars else len(n), BLOCK):
-        z = 1 if stars else min(a + BLOCK, len(n))
-        end = np.searchsorted(4 * n, 5 * n[z - 1], "right")
-        for b in range(a, end, BLOCK):
-            y = min(b + BLOCK, end)
-            ok = (np.arange(a, z)[:, None] < np.arange(b, y)[None, :]) & (component[a:z, None] != component[None, b:y])
-            i, j = np.nonzero(ok)
-            for k in range(0, len(i), 1 << 14):
-                p, q = i[k : k + (1 << 14)] + a, j[k : k + (1 << 14)] + b
-                may = 9 * np.minimum(sketch[p], sketch[q]).sum(axis=1) >= 4 * (n[p] + n[q])
-                us.append(p[may]), vs.append(q[may])
+    size = np.fromiter(map(len, sketch), np.int64, len(sketch))
+    reach = np.searchsorted(4 * n, 5 * n, "right")
+    heads = []
+    if stars:
+        a = 0
+        while a < len(n):
+            heads.append(a)
+            a = int(reach[a])
+    for width in np.unique(size).tolist():
+        # Sketches of one width, and those twice as wide, folded: no pair's widths differ by more.
+        own, wider = np.flatnonzero(size == width), np.flatnonzero(size == 2 * width)
+        rows = np.frombuffer(b"".join(sketch[x] for x in own), np.uint64).reshape(len(own), -1)
+        if len(wider):
+            rows = np.concatenate((rows, _folded(np.frombuffer(b"".join(sketch[x] for x in wider), np.uint64).reshape(len(wider), -1))))
+        at = np.concatenate((own, wider))
+        starts = [int(np.searchsorted(own, h)) for h in heads if size[h] == width] if stars else range(0, len(own), BLOCK)
+        for a in starts:
+            z = a + 1 if stars else min(a + BLOCK, len(own))
+            end = int(np.searchsorted(at, reach[own[z - 1]]))
+            for b in range(a, end, 16 * BLOCK):
+                y = min(b + 16 * BLOCK, end)
+                left, right = at[a:z, None], at[None, b:y]
+                ok = (left < right) & (right < reach[left]) & (component[left] != component[right])
+                if tile is not None:
+                    ok &= tile[left] != tile[right]
+                i, j = np.nonzero(ok)
+                i, j = i + a, j + b
+                may = _may(n[at], rows, i, j)
+                us.append(at[i[may]]), vs.append(at[j[may]])
     none = np.zeros(0, np.int64)
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
 def _pair_stream(stars: bool):
-    """mapInArrow function: rows sorted by token and n in, candidate pairs of classes
+    """mapInArrow function: rows sorted by group and n in, candidate pairs of classes
     out."""
 
-    def flush(parts: list) -> pa.RecordBatch | None:
-        if sum(len(p[0]) for p in parts) < 2:
-            return None
-        cls, n, pos, component = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
-        sketch = np.frombuffer(b"".join(s for p in parts for s in p[4]), np.int32).reshape(-1, BUCKETS)
-        u, v = group_pairs(n, sketch, component, stars)
-        swap = cls[u] > cls[v]
-        u, v = np.where(swap, v, u), np.where(swap, u, v)
-        return pa.record_batch([cls[u], cls[v], n[u] - pos[u] - 1, n[v] - pos[v] - 1, n[u] + n[v]], names=["u", "v", "u_left", "v_left", "n"]) if len(u) else None
-
-    def merged(found: list) -> pa.RecordBatch:
-        return pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+    def flush(key: tuple, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        cls, n, component, tile = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
+        apart = None if stars or key[1] == key[2] else tile
+        u, v = group_pairs(n, [s for p in parts for s in p[4]], component, apart, stars)
+        u, v = cls[u], cls[v]
+        return np.minimum(u, v), np.maximum(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts, found, n = None, [], [], 0
+        held, parts, us, vs, n = None, [], [], [], 0
+
+        def close() -> int:
+            if held is None or sum(len(p[0]) for p in parts) < 2:
+                return 0
+            u, v = flush(held, parts)
+            us.append(u), vs.append(v)
+            return len(u)
+
+        def out() -> pa.RecordBatch:
+            pairs = np.unique(np.stack((np.concatenate(us), np.concatenate(vs)), axis=1), axis=0)
+            us.clear(), vs.clear()
+            return pa.record_batch([np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])], names=["u", "v"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token = np.asarray(batch.column("token"))
-            columns = [np.asarray(batch.column(c)) for c in ("cls", "n", "pos", "component")] + [batch.column("sketch").to_pylist()]
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(token)) + 1, [len(token)]))
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if token[a] != held:
-                    if (out := flush(parts)) is not None:
-                        found.append(out)
-                        n += out.num_rows
-                    held, parts = token[a], []
-                parts.append([c[a:b] for c in columns])
-            if n > 50_000:
-                yield merged(found)
-                found, n = [], 0
-        if (out := flush(parts)) is not None:
-            found.append(out)
-        if found:
-            yield merged(found)
+            token, a, b = (np.asarray(batch.column(c)) for c in ("token", "a", "b"))
+            columns = [np.asarray(batch.column(c)) for c in ("cls", "n", "component", "tile")] + [batch.column("sketch").to_pylist()]
+            new = np.flatnonzero((np.diff(token) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
+            starts = [0, *new.tolist(), len(token)]
+            for x, y in zip(starts, starts[1:]):
+                key = (token[x], a[x], b[x])
+                if key != held:
+                    n += close()
+                    held, parts = key, []
+                parts.append([c[x:y] for c in columns])
+            if n > 200_000:
+                yield out()
+                n = 0
+        close()
+        if us:
+            yield out()
 
     return run
 
@@ -144,8 +213,8 @@ def _pair_stream(stars: bool):
 def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets have a similarity of 0.8 or more."""
     wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "shingle-wanted")
-    reps = classes.select("cls", "rep").join(wanted.hint("merge"), "cls", "left_semi")
-    some = in_bitmap(docs, F.col("doc_id").cast("long"), reps, F.col("rep"))
+    reps = classes.join(wanted.hint("merge"), "cls", "left_semi").select(F.xxhash64("rep.ord", "rep.rk").alias("key"))
+    some = in_bitmap(docs, F.xxhash64(*_keys()), reps, F.col("key"))
     sets = _sets(some).join(wanted.hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes"))
     sets = materialize(sets, "shingle-sets")
     side = lambda s: sets.select(F.col("cls").alias(s), F.col("hashes").alias(f"{s}_set")).hint("merge")
@@ -154,46 +223,69 @@ def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) for every row of docs with a doc_id: the smallest doc_id
-    reachable over near copies.
-
-    Texts of up to five words are one shingle; null, empty and wordless texts are
-    equal. Other columns are ignored; an empty table gives an empty result.
+    """(ord, rk, doc_id, component_id, first) for every row of docs: what tells rows apart,
+    the smallest doc_id reachable over near copies, and whether the row is the least of
+    its component by (ord, rk).
+
+    Rows without a doc_id are compared as any other and come last; where a component has
+    no other, its component_id is null. Texts of up to five words are one shingle; null, empty
+    and wordless texts are equal. Sets are told apart by a 64-bit hash. Other columns
+    are ignored; an empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    rows = materialize(_sketches(docs), "shingle-rows")
-    classes = rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    docs = docs.select("doc_id", "text")
+    rows = materialize(_sketched(docs), "shingle-rows")
+    classes = rows.groupBy("cls").agg(F.min(F.struct("ord", "rk")).alias("rep"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sketch").alias("sketch"))
     classes = materialize(classes, "shingle-classes")
-    tokens = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1").select("token", "pos", "cls", "n")
+    tokens = rows.where("prefix is not null").select("cls", "n", F.explode("prefix").alias("token")).repartition("token").dropDuplicates(["token", "cls"])
+    shared = tokens.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1").select("token", "cls", "n", "size")
     shared = materialize(shared, "shingle-shared")
     sketches = classes.select("cls", "sketch").hint("merge")
 
-    def candidates(component: DataFrame, stars: bool) -> DataFrame:
-        keyed = shared.join(sketches, "cls").join(component.hint("merge"), shared.cls == component.node, "left")
-        keyed = keyed.select("token", "pos", "cls", "n", "sketch", F.coalesce("component", "cls").alias("component"))
-        dealt = keyed.repartition("token").sortWithinPartitions("token", "n", "cls")
-        met = dealt.mapInArrow(_pair_stream(stars), "u long, v long, u_left long, v_left long, n long").groupBy("u", "v")
-        met = met.agg(F.count("*").alias("shared"), F.least(F.min("u_left"), F.min("v_left")).alias("left"), F.first("n").alias("n"))
-        if not stars:  # all shared hashes of the prefixes are counted: beyond the last, no more than what is left can be shared
-            met = met.where(9 * (F.col("shared") + F.col("left")) >= 4 * F.col("n"))
-        return materialize(met.select("u", "v"), "shingle-pairs")
-
-    none = docs.sparkSession.createDataFrame([], "node long, component long")
-    links = materialize(_similar(docs, classes, candidates(none, True)), "shingle-links")
-    found = connected_components(links, "shingle-cc")
-    links = links.unionByName(_similar(docs, classes, candidates(found, False)))
+    def candidates(keyed: DataFrame, stars: bool) -> DataFrame:
+        """keyed: (token, cls, n, size, component)."""
+        tiles = F.ceil(F.col("size") / TILE).cast("int")
+        dealt = keyed.withColumn("tile", F.pmod(F.xxhash64("cls"), tiles).cast("int"))
+        if stars:
+            dealt = dealt.withColumns({"a": F.col("tile"), "b": F.col("tile")})
+        else:
+            meets = F.transform(F.sequence(F.lit(0), tiles - 1), lambda k: F.struct(F.least("tile", k).alias("a"), F.greatest("tile", k).alias("b")))
+            dealt = dealt.withColumn("m", F.explode(meets)).withColumns({"a": F.col("m.a"), "b": F.col("m.b")})
+        full = dealt.join(sketches, "cls").select("token", "a", "b", "cls", "n", "component", "tile", "sketch")
+        sorted_ = full.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n", "cls")
+        return sorted_.mapInArrow(_pair_stream(stars), "u long, v long")
+
+    by_fp = classes.groupBy("fp").agg(F.min("cls").alias("rep"))
+    by_fp = materialize(by_fp, "shingle-fp")
+    same_fp = classes.select("cls", "fp").join(by_fp, "fp").where("cls <> rep").select(F.col("rep").alias("u"), F.col("cls").alias("v"))
+    near_fp = simhash.links(by_fp)
+    stars = candidates(shared.withColumn("component", F.col("cls")), True)
+    pairs = same_fp.unionByName(near_fp).unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = materialize(_similar(docs, classes, materialize(pairs, "shingle-pairs")), "shingle-links")
+
+    found = materialize(connected_components(links, "shingle-cc"), "shingle-found")
+    group = Window.partitionBy("token")
+    keyed = shared.join(found.hint("merge"), F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
+    keyed = keyed.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).where("lo <> hi")
+    pairs = materialize(candidates(keyed, False).distinct(), "shingle-pairs")
+    links = links.unionByName(_similar(docs, classes, pairs))
+
     found = connected_components(links, "shingle-cc")
     grouped = classes.select("cls", "rep").join(found.hint("merge"), F.col("cls") == F.col("node"), "left")
     grouped = materialize(grouped.select("cls", "rep", F.coalesce("component", "cls").alias("component")), "shingle-grouped")
-    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = grouped.join(least.hint("merge"), "component").select("cls", "component_id")
-    return rows.select("doc_id", "cls").join(of_class.hint("merge"), "cls").select("doc_id", "component_id")
+    least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
+    of_class = grouped.join(least.hint("merge"), "component").select("cls", "least")
+    doc_id = lambda c: F.when(c != NO_ID, c)
+    return rows.select("ord", "rk", "cls").join(of_class.hint("merge"), "cls").select(
+        "ord", "rk", doc_id(F.col("ord")).alias("doc_id"), doc_id(F.col("least.ord")).alias("component_id"), (F.struct("ord", "rk") == F.col("least")).alias("first")
+    )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; columns as
-    they are. Rows with a null doc_id stay. Rows that repeat the kept doc_id stay
-    with it when their component says so."""
-    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns))
+    """One row of each group of near copies, columns as they are: the least by doc_id,
+    rows without one last. Of rows equal in doc_id and text one stays."""
+    kept = materialize(near_copies(docs).where("first").groupBy("ord", "rk").agg(F.count("*").alias("times")), "shingle-kept")
+    ord_, rk = _keys()
+    keyed = docs.withColumns({"__ord": ord_, "__rk": rk})
+    out = keyed.join(kept.select(F.col("ord").alias("__ord"), F.col("rk").alias("__rk"), "times").hint("merge"), ["__ord", "__rk"])
+    repeated = out.where("times > 1").dropDuplicates(["__ord", "__rk"])
+    return out.where("times = 1").unionByName(repeated).select(docs.columns)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import shingles, simhash
@@ -71,5 +72,26 @@ def test_pipeline_stage_links_at_080(spark, rows):
 def test_empty_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert shingles.keep_first(spark.createDataFrame([], schema)).count() == 0
-    got = shingles.keep_first(spark.createDataFrame([(None, "a b"), (None, "a b"), (7, "a b"), (5, "a b"), (5, "q r s")], schema)).collect()
-    assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, "a b"), (-1, "a b"), (5, "a b"), (5, "q r s")]
+    rows = [(None, "a b"), (None, "a b"), (7, "a b"), (5, "a b"), (5, "a b"), (5, "q r s"), (None, "t u"), (None, "t u"), (None, None), (8, "")]
+    got = shingles.keep_first(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, "t u"), (5, "a b"), (5, "q r s"), (8, "")]
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in shingles.near_copies(spark.createDataFrame(rows, schema)).collect()) == [
+        (-1, -1), (-1, -1), (-1, 5), (-1, 5), (-1, 8), (5, 5), (5, 5), (5, 5), (7, 5), (8, 8)
+    ]
+
+
+def test_large_groups_go_by_tiles(spark, rows, monkeypatch):
+    monkeypatch.setattr(shingles, "TILE", 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()} == brute(rows)
+
+
+def test_parity_sketches_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 60, 64, 65, 500, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: len(a) * 9 // 10], rng.integers(0, 1 << 63, n // 8).astype(np.uint64))))
+        x, y = (np.frombuffer(shingles.parity(s), np.uint64)[None, :] for s in (a, b))
+        while x.shape[1] != y.shape[1]:
+            x, y = (shingles._folded(x), y) if x.shape[1] > y.shape[1] else (x, shingles._folded(y))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
