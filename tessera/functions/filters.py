@@ -116,7 +116,11 @@ class _Parser:
         elif self.take("keyword", "between"):
             low = self.literal()
             self.need("keyword", "and")
-            out = self.compare(field, ">=", low) & self.compare(field, "<=", self.literal())
+            high = self.literal()
+            if type(low) is type(high) and low is not _NULL:
+                out = self.resolve(field, type(low)).between(F.lit(low), F.lit(high))
+            else:
+                out = self.compare(field, ">=", low) & self.compare(field, "<=", high)
         elif negated:
             raise FilterSyntaxError("NOT after a field goes with IN or BETWEEN")
         else:
@@ -171,14 +175,19 @@ def json_of(column: str) -> Resolver:
     """Fields are keys of a column of JSON objects, typed as the JSON is."""
 
     def resolve(field: str, kind: type) -> Column:
-        parsed = F.try_parse_json(F.col(column))
         path = "$." + field
+        found = F.try_variant_get(F.try_parse_json(F.col(column)), path, "variant")
         if kind is object:
-            return F.try_variant_get(parsed, path, "string")
-        shape = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
-        is_number = F.rlike(shape, F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"))
-        fits = {str: shape == "STRING", bool: shape == "BOOLEAN", int: is_number, float: is_number}[kind]
-        return F.when(fits, F.try_variant_get(parsed, path, {str: "string", bool: "boolean", int: "double", float: "double"}[kind]))
+            return F.try_variant_get(found, "$", "string")
+        shape = F.schema_of_variant(found)
+        if kind is str or kind is bool:
+            return F.when(shape == {str: "STRING", bool: "BOOLEAN"}[kind], F.try_variant_get(found, "$", {str: "string", bool: "boolean"}[kind]))
+        number = F.when(F.rlike(shape, F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")), F.try_variant_get(found, "$", "double"))
+        if kind is float:
+            return number
+        # Whole numbers are compared exactly, beyond 2^53 as well; others keep their order.
+        whole = F.when(shape == "BIGINT", F.try_variant_get(found, "$", "long")).cast("decimal(38,18)")
+        return F.coalesce(whole, F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(1e19)), F.lit(-1e19))).cast("decimal(38,18)"))
 
     return resolve
 

@@ -8,8 +8,10 @@ delete, by one aggregation that combines before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INSERT, DELETE = 1, 2
@@ -45,8 +47,9 @@ def group_counts(log: DataFrame, key: str) -> DataFrame:
 
 def upsert_flags(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The log with created: whether a mutation is the first of its key."""
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return log.withColumn("created", F.row_number().over(first) == 1)
+    first = log.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(F.struct(*order)).alias("__first"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return log.join(first, same).withColumn("created", F.struct(*order) == F.col("__first")).select(*log.columns, "created")
 
 
 def compacted(log: DataFrame, keys: Sequence[str], order: Sequence[str], deleted: Column | None = None) -> DataFrame:

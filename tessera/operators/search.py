@@ -9,11 +9,12 @@ Scores are rounded before they are ranked, and equal scores rank by id.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessera import validate
@@ -23,6 +24,8 @@ from tessera.plans.scratch import scratch
 
 #: Queries that one pass takes at most, about; their matrix goes to every task.
 MOST_QUERIES = 10_000
+#: Bytes of vectors that are broadcast at most.
+MOST_BYTES = 32 << 20
 
 
 def _order(metric: str, id_col: str) -> list[Column]:
@@ -43,6 +46,12 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: str = "
     return scored(vectors, query, metric, where, vector_col, digits).drop(vector_col).orderBy(*_order(validate.metric(metric), id_col)).limit(k)
 
 
+def timed(found: DataFrame) -> tuple[list[Row], int]:
+    """The rows of a search and its latency in microseconds."""
+    began = time.perf_counter_ns()
+    return found.collect(), (time.perf_counter_ns() - began) // 1000
+
+
 def range_search(vectors: DataFrame, query: Sequence[float], reach: float, metric: str = "l2", where: str | None = None, vector_col: str = "vector", digits: int = 6) -> DataFrame:
     """Vectors at least as close as reach: distances up to it, or scores from it."""
     rows = scored(vectors, query, metric, where, vector_col, digits).drop(vector_col)
@@ -90,7 +99,7 @@ def by_blocks(asked: DataFrame, one: Callable[[list], DataFrame]) -> DataFrame:
         raise VectorError("DIM_MISMATCH", "queries differ in dimension")
     if not said["n"]:
         return spark.createDataFrame([], "qid long, id long, score double, rank long")
-    blocks = -(-said["n"] // MOST_QUERIES)
+    blocks = max(-(-said["n"] // MOST_QUERIES), -(-said["n"] * said["most"] * 8 // MOST_BYTES))
     if blocks == 1:
         return one(asked.collect())
     out = scratch(spark, "knn-batch")
@@ -121,21 +130,21 @@ def _nearest(rows: DataFrame, got: list, k: int, metric: str, digits: int) -> Da
             v = np.asarray(batch.column("vector").flatten()).reshape(len(ids), -1)
             for a in range(0, len(qids), 256):
                 s = np.round(score_matrix(metric, matrix[a : a + 256], v), digits)
-                for i in range(len(s)):
-                    best = np.lexsort((ids, closer * s[i]))[:k]
-                    yield pa.record_batch([np.full(len(best), qids[a + i]), ids[best], s[i][best]], names=["qid", "id", "score"])
+                best = np.stack([np.lexsort((ids, closer * row))[:k] for row in s])
+                yield pa.record_batch([np.repeat(qids[a : a + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()], names=["qid", "id", "score"])
 
     return ranked(rows.mapInArrow(run, schema), k, metric)
 
 
 def pairwise(a: DataFrame, b: DataFrame, metric: str, a_id: str = "id", b_id: str = "id", vector_col: str = "vector", digits: int = 6) -> DataFrame:
     """(a_id, b_id, value) of all rows of a against all rows of b of their dimension:
-    the distance for cosine and l2, the product for dot. Up to MOST_QUERIES rows of a
-    are broadcast; more meet b partition by partition."""
+    the distance for cosine and l2, the product for dot. Up to MOST_BYTES of a are
+    broadcast; more meet b partition by partition."""
     left = a.select(F.col(a_id).alias("a_id"), F.col(vector_col).alias("a_vec"))
     right = b.select(F.col(b_id).alias("b_id"), F.col(vector_col).alias("b_vec"))
     kernel = {"dot": kernels.dot, "cosine": kernels.cosine_distance, "l2": kernels.l2_distance}[validate.metric(metric)]
-    if left.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+    size = left.agg(F.coalesce(F.sum(8 * F.coalesce(F.size("a_vec"), F.lit(0)) + 16), F.lit(0))).head()[0]
+    if size <= MOST_BYTES:
         both = right.join(F.broadcast(left), F.size("a_vec") == F.size("b_vec"))
     else:  # a difference, as an equality would deal all rows of a dimension to one task
         both = right.join(left.hint("shuffle_replicate_nl"), F.size("a_vec") - F.size("b_vec") == 0)

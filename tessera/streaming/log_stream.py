@@ -8,6 +8,7 @@ reduced to its last writes and merged, and a batch that is run again changes not
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,28 +38,41 @@ def windowed_counts(log: DataFrame, time_col: str, key: str, length: str = "1 ho
 
 
 class Snapshot:
-    """The last write per key in numbered folders; the current one is named by a
-    file that is replaced in one step."""
+    """The last write per key, in PARTS parts by the key's hash. A micro-batch rewrites the
+    parts that it touches; one small file names the current folder of each part and is
+    replaced in one step."""
+
+    PARTS = 64
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str]):
         self.spark, self.store, self.keys, self.order = spark, Store(spark, root), list(keys), list(order)
 
-    def _current(self) -> str | None:
-        return self.store.read("current") if self.store.exists("current") else None
+    def _current(self) -> dict:
+        return json.loads(self.store.read("current")) if self.store.exists("current") else {"epoch": -1, "parts": {}}
 
     def merge(self, batch: DataFrame, epoch: int) -> None:
-        held = self._current()
-        if held is not None and int(held.split("-")[1]) >= epoch:
+        now = self._current()
+        if now["epoch"] >= epoch:
             return
-        rows = batch if held is None else self.spark.read.parquet(self.store.path(held)).unionByName(batch)
-        name = f"state-{epoch}"
-        logs.last_writes(rows, self.keys, self.order).write.mode("overwrite").parquet(self.store.path(name))
-        self.store.write("current", name)
-        if held is not None:
-            self.store.delete(held)
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.PARTS)).cast("int")
+        last = logs.last_writes(batch, self.keys, self.order).withColumn("__part", part).persist()
+        touched = [str(r[0]) for r in last.select("__part").distinct().collect()]  # PARTS at most
+        held = [self.store.path(now["parts"][p]) for p in touched if p in now["parts"]]
+        rows = last.drop("__part")
+        if held:
+            rows = logs.last_writes(self.spark.read.schema(rows.schema).parquet(*held).unionByName(rows), self.keys, self.order)
+        rows.withColumn("__part", part).write.partitionBy("__part").mode("overwrite").parquet(self.store.path(f"state-{epoch}"))
+        last.unpersist()
+        old = [now["parts"].get(p) for p in touched]
+        now["parts"] |= {p: f"state-{epoch}/__part={p}" for p in touched}
+        self.store.write("current", json.dumps({"epoch": epoch, "parts": now["parts"], "schema": rows.schema.jsonValue()}))
+        for folder in filter(None, old):
+            self.store.delete(folder)
 
     def state(self, deleted: Column) -> DataFrame:
-        return self.spark.read.parquet(self.store.path(self._current())).where(~deleted)
+        now = self._current()
+        schema = StructType.fromJson(now["schema"])
+        return self.spark.read.schema(schema).parquet(*[self.store.path(f) for f in now["parts"].values()]).where(~deleted)
 
 
 def merge_into(log: DataFrame, snapshot: Snapshot, checkpoint: str, then: Callable[[int], None] | None = None) -> StreamingQuery:

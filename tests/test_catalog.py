@@ -92,3 +92,26 @@ def test_cli(spark, tmp_path):
     assert run("list") == 0 and said[-1] == "docs                    3  cosine   1 vectors"
     assert run("search", "docs", "--file", f"{tmp_path}/v.f32") == 0 and said[-1] == "a\t1"
     assert run("get", "docs", "b") == 1 and run("drop", "docs") == 0 and run("drop", "docs") == 1
+
+
+def test_tiers(spark, tmp_path):
+    """Logs become segments and segments are merged, small ones first; deletes are kept as
+    long as older rows may be elsewhere."""
+    c = Catalog(spark, f"file://{tmp_path}/db", compact_after=1, merge_after=3)
+    c.create("docs", 2)
+    rows = spark.range(3000).selectExpr("cast(id as string) id", "array(cast(id as float), cast(id * 7 % 13 as float)) vector")
+    c.insert_batch("docs", rows)
+    big = c._manifest("docs")["segments"][0]
+    c.insert("docs", "x", [1, 2])
+    c.delete("docs", ["5", "x"])
+    c.insert("docs", "y", [1, 2])
+    m = c._manifest("docs")
+    assert big in m["segments"] and len(m["segments"]) <= 3 and not m["log"]
+    assert c.stats("docs")["vector_count"] == 3000 and kind(c.get, "docs", "5") == "NOT_FOUND" and kind(c.get, "docs", "x") == "NOT_FOUND" and c.get("docs", "y") == [1, 2]
+    assert [r.vector_count for r in c.describe().collect()] == [3000]
+    c.compact("docs")
+    assert len(c._manifest("docs")["segments"]) == 1 and c.log("docs").count() == 3000
+    by_size = Catalog(spark, f"file://{tmp_path}/db2", rotate_bytes=1)
+    by_size.create("docs", 2)
+    by_size.insert("docs", "x", [1, 2])
+    assert len(by_size._manifest("docs")["segments"]) == 1

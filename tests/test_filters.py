@@ -41,3 +41,10 @@ def test_json_is_typed(spark):
     assert found("k = 5") == {0, 5} and found("k = '5'") == {1} and found("s = '5'") == {0} and found("s = 5") == set()
     assert found("b = true") == {0} and found("d > 1") == {0} and found("o.p = 7") == {0} and found("NOT k = 5") == set()
     assert found("s != null") == {0}
+
+
+def test_whole_json_numbers_are_exact(spark):
+    df = spark.createDataFrame([(0, '{"k": 9007199254740993}'), (1, '{"k": 9007199254740992}'), (2, '{"k": 1e300}'), (3, '{"k": -1.5}'), (4, "{}")], "id int, props string")
+    found = lambda text: {r.id for r in filters.apply(df, text, filters.json_of("props")).collect()}
+    assert found("k = 9007199254740993") == {0} and found("k = 9007199254740992") == {1} and found("k > 9007199254740992") == {0, 2}
+    assert found("k < 0") == {3} and found("k BETWEEN -2 AND 9007199254740992") == {1, 3} and found("k NOT BETWEEN -2 AND 9007199254740992") == {0, 2}

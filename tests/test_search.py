@@ -41,7 +41,7 @@ def test_edges(rows, spark):
 def test_ann_recall(rows):
     df, v = rows
     df = df.where("id > 2")
-    for metric, found in (("l2", ann.IvfIndex.build(df, 8).search(v[50], 10, "l2", 8)), ("cosine", ann.LshIndex.build(df, 12).search(v[50], 10)), ("l2", ann.PqIndex.build(df, 4).search(v[50], 10, 150))):
+    for metric, found in (("l2", ann.IvfIndex.build(df, 8).search(v[50], 10, "l2", 8)), ("cosine", ann.LshIndex.build(df, 12).search(v[50], 10)), ("l2", ann.PqIndex.build(df, 4).search(v[50], 10))):
         assert ann.recall(search.knn(df, v[50], 10, metric), found).head()["recall"] >= 0.9
 
 
@@ -60,3 +60,31 @@ def test_text(spark):
     got = [(r.id, r.chunk, r.text.split()[0], len(r.text.split())) for r in embed.chunks(long, "id", "text", 10, 2).orderBy("id", "chunk").collect()]
     assert got == [(1, 0, "w0", 10), (1, 1, "w8", 10), (1, 2, "w16", 9), (3, 0, "one", 1)]
     assert embed.retrieve(df, "dogs", "id", "text", e, 1).head()["id"] == 2
+
+
+def test_models_and_latency(spark, rows):
+    df, v = rows
+    models = embed.Models()
+    assert models.load("hashing-128") is models.load("hashing-128")
+    assert {r.name: r.loaded for r in models.list(spark).collect()} == {"hashing-128": True, "hashing-384": False}
+    models.unload("hashing-128")
+    for f, name in ((models.unload, "hashing-128"), (models.load, "no-such-model"), (models.pull, "no-such-model")):
+        with pytest.raises(VectorError, match="NOT_FOUND"):
+            f(name)
+    hits, latency_us = search.timed(search.knn(df, v[5], 3))
+    assert hits[0].id == 5 and latency_us > 0
+
+
+def test_hashing_embedder_by_hand(spark):
+    import hashlib
+    import re
+
+    texts = ["Spark streams, and tables and streams", "", None, "Ünïcode 中文 12 a_b", "one"]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", embed.hashing_embedder(16)(embed.F.col("text")).alias("v")).orderBy("id").collect()
+    for r, t in zip(got, texts):
+        want = np.zeros(16)
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            want[(h >> 1) % 16] += -1 if h % 2 else 1
+        n = np.sqrt((want**2).sum())
+        assert np.allclose(r.v, want / n if n else want, atol=1e-7)

@@ -25,7 +25,7 @@ def test_batch_goes_through_queries_in_blocks(rows, monkeypatch, metric):
 @pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
 def test_pairwise_keeps_every_row_of_the_left_side(rows, monkeypatch, metric):
     df, v = rows
-    monkeypatch.setattr(search, "MOST_QUERIES", 6)
+    monkeypatch.setattr(search, "MOST_BYTES", 100)
     got = {(r.a_id, r.b_id): r["value"] for r in search.pairwise(df.where("id % 20 = 0"), df, metric).collect()}
     asked = list(range(0, 400, 20))
     want = search.score_matrix(metric, v[asked], v)
