@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow.compute as pc
@@ -20,12 +21,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew to as many partitions as there are cores, where its files give fewer;
+    larger tables stay as they are read. For rows that much work follows on."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where
-    it is unset (tests on one machine) a temporary one of this application."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset
+    and all tasks run in this process, as in tests, a temporary one of this application;
+    on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -44,10 +55,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     lineage, and what is read survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for held in _SCOPES:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What is written while a scratch is open, for each one that is.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Tables materialized inside go at the end, but for those whose tag is in keep;
+    nothing made from the others may be read later."""
+    held: list[str] = []
+    _SCOPES.append(held)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(held)
+        for path in held:
+            if path.rsplit("/", 1)[1].rsplit("-", 1)[0] in keep:
+                continue
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ordinal(doc_id: Column) -> Column:
     """doc_id as a long, nulls first."""
     return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))

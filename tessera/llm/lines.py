@@ -17,27 +17,32 @@ a banded bit-parallel edit distance (Hyyro, 2003): the 2 max_edits + 1 cells of
 column around the diagonal are one machine word.
 
 None of these tables has a bound, so their joins are sort-merge joins at every size.
-Groups of more than ``group_rows`` lines are split by length before pairs form, so a
-passage that begins very many lines costs no more than lines of nearly equal length.
+A hash that many lines share, as with templates and passages that begin many lines, gives
+no pairs at once: its lines are dealt by length, what all of them share is cut off, and
+what is left of them is cut into segments again, until groups are small (``near_lines``).
+A line needs one earlier neighbour only and leaves as soon as it has one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_bitmap, materialize, ordinal, read_table
+from tessera.llm.common import in_bitmap, materialize, read_table, row_keys, scratch
 
 #: Letters whose counts are compared before two lines are; any other count as one.
 LETTERS = tuple("etaoinsrhldcumfpgwybvk .,")
+#: What tells lines apart: the keys of their row, and their place in it.
+AT = ("ord", "rk", "pos")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(ord, pos, line): the lines of every document that are not blank, trimmed."""
-    split = docs.select(ordinal(F.col("doc_id")).alias("ord"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return split.select("ord", "pos", F.btrim("raw", F.lit(" \t\r")).alias("line")).where("line <> ''")
+    """(ord, rk, pos, line): the lines of every document that are not blank, trimmed."""
+    keyed = docs.select(*row_keys(), "text")
+    split = keyed.select("ord", "rk", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return split.select(*AT, F.btrim("raw", F.lit(" \t\r")).alias("line")).where("line <> ''")
 
 
 def _hash(salt: int, text: Column) -> Column:
@@ -51,8 +56,9 @@ def length_class(n: Column) -> Column:
     return (n - n % step).cast("int")
 
 
-def segment_keys(line: Column, n: Column, least: Column, max_edits: int) -> list[tuple[Column, bool]]:
-    """(hash, only a probe) of each segment and shift of a line, for a class."""
+def segments(n: Column, least: Column, max_edits: int) -> list[tuple[int, Column, Column, bool]]:
+    """(number, place from 1, length, only a probe) of each segment and shift of a text of
+    n characters among texts of least characters or a few more."""
     k = F.floor(least / (max_edits + 1)).cast("int")
     out = []
     for i in range(max_edits + 1):
@@ -61,19 +67,24 @@ def segment_keys(line: Column, n: Column, least: Column, max_edits: int) -> list
         reach = min(i, back)
         for shift in sorted(range(-reach, reach + 1), key=abs):
             at = k * i + 1 + shift if from_start else n - k * (back + 1) + 1 + shift
-            out.append((F.xxhash64(least, F.lit(i), F.substring(line, at, k)), shift != 0))
+            out.append((i, at.cast("int"), k, shift != 0))
     return out
 
 
-def _keys(line: Column, n: Column, max_edits: int, min_chars: int) -> tuple[Column, list[bool]]:
-    """All hashes of a line, in its own class and in the class below where a partner
-    may be there; and which of them are only probes."""
+def _slots(n: Column, max_edits: int) -> list[tuple[Column, int, Column, Column, bool]]:
+    """(class, number, place, length, only a probe) of the segments of a line of n
+    characters in its own class, then in the class that partners below may be in."""
     own, below = length_class(n), length_class(n - max_edits)
-    mine, lower = segment_keys(line, n, own, max_edits), segment_keys(line, n, below, max_edits)
+    return [(least, *x) for least in (own, below) for x in segments(n, least, max_edits)]
+
+
+def _keys(line: Column, n: Column, max_edits: int, min_chars: int) -> Column:
+    """The hashes of a line's segments by slot; those of the class below only where a
+    partner may be there."""
+    keys = [F.xxhash64(least, F.lit(i), F.substring(line, at, k)) for least, i, at, k, _ in _slots(n, max_edits)]
+    crossing = (length_class(n - max_edits) < length_class(n)) & (n - max_edits >= min_chars)
     none = F.array().cast("array<bigint>")
-    crossing = (below < own) & (n - max_edits >= min_chars)
-    keys = F.when(n < min_chars, none).when(crossing, F.array(*[c for c, _ in mine + lower])).otherwise(F.array(*[c for c, _ in mine]))
-    return keys, [p for _, p in mine + lower]
+    return F.when(n < min_chars, none).when(crossing, F.array(*keys)).otherwise(F.array(*keys[: len(keys) // 2]))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -151,94 +162,179 @@ def share_segments(a: Column, b: Column, max_edits: int, parts: int = 12) -> Col
 
 
 def distinct_lines(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """(h1, h2, n, keys, first, times) of each distinct line; first is its first
-    occurrence as ord * 2^31 + pos."""
+    """(h1, h2, n, keys, times, ord, rk, pos) of each distinct line; the last three are
+    those of its first occurrence, by _order."""
     n = F.length("line")
-    keys, _ = _keys(F.col("line"), n, max_edits, min_chars)
-    place = F.col("ord").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
-    rows = _lines(docs).select(_hash(1, F.col("line")).alias("h1"), _hash(2, F.col("line")).alias("h2"), n.alias("n"), keys.alias("keys"), place.cast("decimal(38,0)").alias("place"))
-    found = rows.groupBy("h1", "h2", "n", "keys").agg(F.min("place").alias("first"), F.count("*").alias("times"))
-    pos = F.pmod(F.col("first"), F.lit(1 << 31).cast("decimal(38,0)"))
-    return found.select("h1", "h2", "n", "keys", "times", ((F.col("first") - pos) / F.lit(1 << 31).cast("decimal(11,0)")).cast("long").alias("ord"), pos.cast("int").alias("pos"))
+    # One number to be compared: ord, 31 bits of pos, 31 bits of rk.
+    low = F.shiftleft(F.col("pos").cast("long"), 31) + F.pmod("rk", F.lit(1 << 31))
+    place = (F.col("ord").cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)")).cast("decimal(38,0)") + low.cast("decimal(19,0)")
+    rows = _lines(docs).select(
+        _hash(1, F.col("line")).alias("h1"), _hash(2, F.col("line")).alias("h2"), n.alias("n"), _keys(F.col("line"), n, max_edits, min_chars).alias("keys"), "rk", place.cast("decimal(38,0)").alias("place")
+    )
+    found = rows.groupBy("h1", "h2", "n", "keys").agg(F.min("place").alias("first"), F.min_by("rk", "place").alias("rk"), F.count("*").alias("times"))
+    low = F.pmod(F.col("first"), F.lit(1 << 62).cast("decimal(38,0)"))
+    ord_ = ((F.col("first") - low) / F.lit(1 << 62).cast("decimal(19,0)")).cast("long")
+    return found.select("h1", "h2", "n", "keys", "times", ord_.alias("ord"), "rk", F.shiftright(low.cast("long"), 31).cast("int").alias("pos"))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with alike."""
+    x, y, most = F.split(a, ""), F.split(b, ""), F.least(F.length(a), F.length(b))
+    unlike = F.filter(F.sequence(F.lit(0), most), lambda i: (i >= most) | (F.get(x, i) != F.get(y, i)))
+    return F.array_min(unlike).cast("int")
+
+
+def _near(a_line: Column, b_line: Column, max_edits: int) -> Column:
+    return share_segments(a_line, b_line, max_edits) & within_edits(a_line, b_line, max_edits)
+
+
+def _hits(pairs: DataFrame, max_edits: int) -> DataFrame:
+    """AT of the later ones of (a_line, b_line, AT of b) pairs that are near."""
+    return pairs.where(_near(F.col("a_line"), F.col("b_line"), max_edits)).select(*AT).distinct()
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """How far two counts of letters differ; an edit changes those of two by one."""
+    return sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(1, len(LETTERS))), F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))))
+
+
+def _order(side: str = "") -> Column:
+    """What lines are ordered by; it may be compared and its least taken."""
+    rk = F.col(f"{side}rk")
+    return F.struct(F.col(f"{side}ord").alias("ord"), F.col(f"{side}pos").alias("pos"), F.pmod(rk, F.lit(1 << 31)).alias("r"), rk.alias("rk"))
+
+
+def _open(rows: DataFrame, hits: DataFrame | None) -> DataFrame:
+    """The rows of lines that have no near neighbour yet."""
+    return rows if hits is None else rows.join(hits.hint("merge"), list(AT), "left_anti")
+
+
+def _joined(hits: DataFrame | None, found: DataFrame) -> DataFrame:
+    return found if hits is None else hits.unionByName(found).distinct()
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, max_edits: int, min_chars: int, group_rows: int) -> DataFrame:
-    """(ord, pos) of the first occurrence of each distinct line that an earlier line is
-    within max_edits edits of."""
-    _, probes = _keys(F.lit(""), F.lit(0), max_edits, min_chars)
-    probe = F.array(*[F.lit(p) for p in probes])
-    rows = distinct.where(F.size("keys") > 0).select("ord", "pos", "n", F.posexplode("keys").alias("k", "key")).select("key", "ord", "pos", "n", F.get(probe, F.col("k")).alias("probe"))
-    group = Window.partitionBy("key")
-    who = F.xxhash64("ord", "pos")
-    shared = rows.withColumn("lo", F.min(who).over(group)).withColumn("hi", F.max(who).over(group)).withColumn("size", F.count("*").over(group)).where("lo <> hi")
-    shared = materialize(shared.select("key", "ord", "pos", "n", "probe", "size"), "line-keys")
+    """(ord, rk, pos) of the first occurrence of each distinct line that an earlier line is
+    within max_edits edits of.
+
+    Lines that share a segment's hash are a group. In every group each line is first
+    compared with the group's first; those that are near are settled and no longer sought
+    partners for. Groups of up to group_rows then form their other pairs. Larger
+    ones are dealt anew: first by length, a line to its own and as the longer one to the
+    lengths below; then the shared segment goes, beginnings and ends that all have are cut
+    off, and the rest is segmented again. Two lines that are near on both sides of their
+    segment are no farther apart without it, so no pair is lost; pairs are verified on
+    lines, not on what is left of them. The rest shrinks each time, and of max_edits
+    characters or fewer it has few values, so this ends.
+    """
+    probes = F.array(*[F.lit(x[-1]) for x in _slots(F.lit(0), max_edits)])
+    rows = distinct.where(F.size("keys") > 0).select(*AT, "n", F.posexplode("keys").alias("slot", "key"))
+    who = F.xxhash64(*AT)
+    groups = rows.groupBy("key").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("key")
+    groups = materialize(groups, "line-groups")
+    shared = in_bitmap(rows, F.col("key"), groups, F.col("key")).join(groups.hint("merge"), "key")
+    shared = materialize(shared.select("key", *AT, "n", "slot"), "line-keys")
 
     # Texts of the lines that share a key, from the documents that have any.
-    wanted = shared.select("ord", "pos").distinct()
-    some = in_bitmap(docs.select("doc_id", "text"), ordinal(F.col("doc_id")), wanted, F.col("ord"))
+    wanted = shared.select(*AT).distinct()
+    some = in_bitmap(docs.select("doc_id", "text"), F.xxhash64(*row_keys()), wanted, F.xxhash64("ord", "rk"))
     line = F.col("line")
     counts = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("short") for c in LETTERS]
-    # Rows that repeat a document give the line twice, or two lines at one place; the key's line is told by its length first.
-    texts = _lines(some).join(wanted.hint("merge"), ["ord", "pos"], "left_semi").select("ord", "pos", F.length(line).alias("n"), "line", F.array(*counts).alias("letters")).distinct()
-    texts = materialize(texts, "line-texts")
-
-    marked = shared.join(texts.select("ord", "pos", "n", "letters").hint("merge"), ["ord", "pos", "n"])
-    small = marked.where(F.col("size") <= group_rows).select("key", "ord", "pos", "n", "letters", "probe", F.lit(False).alias("later"))
-    # In a large group a line is indexed under its length and probes the lengths below.
-    large = marked.where(F.col("size") > group_rows).select(
-        "ord", "pos", "n", "letters", "probe", "key", F.posexplode(F.array(*[F.col("n") - d for d in range(max_edits + 1)])).alias("d", "at")
-    )
-    large = large.select(F.xxhash64("key", "at").alias("key"), "ord", "pos", "n", "letters", "probe", (F.col("d") > 0).alias("later"))
-    index = small.unionByName(large)
-    a, b = index.alias("a"), index.alias("b")
-    earlier = (F.col("a.ord") < F.col("b.ord")) | ((F.col("a.ord") == F.col("b.ord")) & (F.col("a.pos") < F.col("b.pos")))
-    # An edit changes the length by one at most, and the counts of two letters.
-    apart = sum((F.abs(F.col("a.letters")[i] - F.col("b.letters")[i]) for i in range(1, len(LETTERS))), F.abs(F.col("a.letters")[0] - F.col("b.letters")[0]))
-    met = (
-        (F.col("a.key") == F.col("b.key")) & earlier & (F.abs(F.col("a.n") - F.col("b.n")) <= max_edits)
-        & ~(F.col("a.probe") & F.col("b.probe")) & ~(F.col("a.later") & F.col("b.later")) & (apart <= 2 * max_edits)
+    texts = _lines(some).join(wanted.hint("merge"), list(AT), "left_semi").dropDuplicates(list(AT)).select(*AT, "line", F.array(*counts).alias("letters"))
+    slots = _slots(F.col("n"), max_edits)
+    cut = lambda part: F.get(F.array(*[x[part] for x in slots]), F.col("slot"))
+    level = shared.join(texts.hint("merge"), list(AT)).select(
+        "key", *AT, "n", "line", "letters", F.get(probes, F.col("slot")).alias("probe"), F.lit(False).alias("later"),
+        _without(line, cut(2), cut(3)).alias("rest"),
     )
-    side = lambda s: [F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in ("ord", "pos", "n")]
-    pairs = a.join(b, met).select(*side("a"), *side("b")).distinct()
-    text = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("ord", "pos", "n", "line")])
-    both = pairs.join(text("a").hint("merge"), ["a_ord", "a_pos", "a_n"]).join(text("b").hint("merge"), ["b_ord", "b_pos", "b_n"])
-    both = both.where(share_segments(F.col("a_line"), F.col("b_line"), max_edits))
-    return both.where(within_edits(F.col("a_line"), F.col("b_line"), max_edits)).select(F.col("b_ord").alias("ord"), F.col("b_pos").alias("pos")).distinct()
-
-
-def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, group_rows: int = 1000) -> DataFrame:
+    level, hits, depth = materialize(level, "line-level"), None, 0
+    own, rest = ~F.col("later"), F.col("rest")
+    while True:
+        groups = level.groupBy("key").agg(
+            F.min(who).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("size"), F.min(F.when(own, F.struct(_order().alias("at"), "line"))).alias("first"),
+            F.max(F.when(own, F.length(rest))).alias("least"), F.min(rest).alias("a"), F.max(rest).alias("z"), F.min(F.reverse(rest)).alias("ra"), F.max(F.reverse(rest)).alias("rz"),
+        ).where("lo <> hi and first is not null")
+        groups = groups.withColumn("head", F.least(_common(F.col("a"), F.col("z")), F.col("least")))
+        groups = groups.withColumn("tail", F.least(_common(F.col("ra"), F.col("rz")), F.col("least") - F.col("head"))).drop("lo", "hi", "a", "z", "ra", "rz")
+        level = materialize(level.join(materialize(groups, "line-groups").hint("merge"), "key"), "line-level")
+
+        behind = level.where((F.col("first.at") < _order()) & (F.abs(F.length("line") - F.length("first.line")) <= max_edits))
+        behind = _open(behind, hits).select(F.col("first.line").alias("a_line"), F.col("line").alias("b_line"), *AT)
+        hits = materialize(_joined(hits, _hits(behind, max_edits)), "line-hits")
+
+        small = F.col("size") <= group_rows
+        if depth:
+            small |= F.col("least") - F.col("head") - F.col("tail") <= max_edits
+        a = level.where(small).drop("first")
+        b = _open(a, hits).alias("b")
+        met = (
+            (F.col("a.key") == F.col("b.key")) & (_order("a.") < _order("b.")) & (F.abs(F.col("a.n") - F.col("b.n")) <= max_edits)
+            & ~(F.col("a.probe") & F.col("b.probe")) & ~(F.col("a.later") & F.col("b.later")) & (_apart(F.col("a.letters"), F.col("b.letters")) <= 2 * max_edits)
+        )
+        pairs = a.alias("a").join(b.hint("merge"), met).select(F.xxhash64(*[f"a.{c}" for c in AT]).alias("a_at"), F.col("a.line").alias("a_line"), F.col("b.line").alias("b_line"), *[f"b.{c}" for c in AT])
+        hits = materialize(_joined(hits, _hits(pairs.dropDuplicates(["a_at", *AT]), max_edits)), "line-hits")
+
+        large = level.where(~small)
+        if large.isEmpty():
+            return hits
+        if not depth:  # by length
+            lengths = F.array(*[F.col("n") - d for d in range(max_edits + 1)])
+            level = large.select("key", *AT, "n", "line", "letters", "probe", "rest", F.posexplode(lengths).alias("d", "length"))
+            level = level.select(F.xxhash64("key", "length").alias("key"), *AT, "n", "line", "letters", "probe", (F.col("d") > 0).alias("later"), "rest")
+        else:
+            cut_off = F.substring("rest", F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail"))
+            large = large.withColumn("left", (F.col("least") - F.col("head") - F.col("tail")).cast("int")).withColumn("rest", cut_off)
+            parts = segments(F.length("rest"), F.col("left"), max_edits)
+            each = F.array(*[F.struct(F.xxhash64("key", F.lit(i), F.substring("rest", at, k)).alias("key"), F.lit(p).alias("probe"), at.alias("at"), k.alias("k")) for i, at, k, p in parts])
+            level = large.select("key", *AT, "n", "line", "letters", "later", "rest", "left").withColumn("part", F.explode(each))
+            level = level.select("part.key", *AT, "n", "line", "letters", "part.probe", "later", _without(F.col("rest"), F.col("part.at"), F.col("part.k")).alias("rest"))
+        level, depth = materialize(level, "line-level"), depth + 1
+
+
+def _without(text: Column, at: Column, k: Column) -> Column:
+    """The text without the k characters from place at."""
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + k, F.length(text)))
+
+
+def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, group_rows: int = 50) -> DataFrame:
     """docs with repeated and near-repeated lines taken out of text; adds n_lines,
     n_repeated and n_near.
 
     Lines are parted at line feeds and compared without blanks at their ends; blank
-    lines are never dropped. Lines of fewer than min_chars characters are dropped only
-    when equal to an earlier one. Null texts stay null with no lines; documents stay
-    even when every line has gone. Rows with a null doc_id come first. Rows that
-    share a doc_id count as one document, and keep or lose equal lines alike. The
-    added columns replace any of their names.
+    lines are never dropped. Lines of fewer than min_chars characters, in which
+    max_edits edits can make another word or number, are dropped only when equal to an
+    earlier one. Null texts stay null with no lines; documents stay even when every
+    line has gone. Rows with a null doc_id come first; rows that share or lack a doc_id
+    are each documents of their own, in the order of a hash where places are equal. Rows
+    equal in doc_id and text are one document twice and lose the same lines. The added
+    columns replace any of their names.
     """
     if max_edits not in (1, 2):
         raise ValueError("max_edits is 1 or 2")
-    distinct = materialize(distinct_lines(docs, max_edits, min_chars), "lines")
-    near = materialize(near_lines(docs, distinct, max_edits, min_chars, group_rows), "lines-near")
-    occurrences = _lines(docs).select("ord", "pos", _hash(1, F.col("line")).alias("h1"), _hash(2, F.col("line")).alias("h2"))
-    first = distinct.where("times > 1").select("h1", "h2", F.col("ord").alias("first_ord"), F.col("pos").alias("first_pos"))
-    repeated = occurrences.join(first.hint("merge"), ["h1", "h2"]).where("ord <> first_ord or pos <> first_pos").select("ord", "pos", F.lit(False).alias("near"))
-    dropped = (
-        repeated.unionByName(near.withColumn("near", F.lit(True)))
-        .groupBy("ord")
-        .agg(F.collect_set(F.when(~F.col("near"), F.col("pos"))).alias("repeated_at"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near_at"))
-    )
-    dropped = materialize(dropped, "lines-dropped")
+    with scratch(docs.sparkSession, "lines-dropped"):
+        distinct = materialize(distinct_lines(docs, max_edits, min_chars), "lines")
+        near = materialize(near_lines(docs, distinct, max_edits, min_chars, group_rows), "lines-near")
+        occurrences = _lines(docs).select(*AT, _hash(1, F.col("line")).alias("h1"), _hash(2, F.col("line")).alias("h2"))
+        first = distinct.where("times > 1").select("h1", "h2", *[F.col(c).alias(f"first_{c}") for c in AT])
+        repeated = occurrences.join(first.hint("merge"), ["h1", "h2"]).where("ord <> first_ord or rk <> first_rk or pos <> first_pos").select(*AT, F.lit(False).alias("near"))
+        # Copies of a line that is near an earlier one are repeated, not near.
+        dropped = (
+            repeated.unionByName(near.withColumn("near", F.lit(True)))
+            .groupBy("ord", "rk")
+            .agg(F.collect_set(F.when(~F.col("near"), F.col("pos"))).alias("repeated_at"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near_at"))
+        )
+        dropped = materialize(dropped, "lines-dropped")
     added = ("n_lines", "n_repeated", "n_near")
     rows = docs.drop(*added)
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
     zero = F.lit(0).cast("long")
-    spared = in_bitmap(rows, ordinal(F.col("doc_id")), dropped, F.col("ord"), keep=False)
+    row, member = F.xxhash64(*row_keys()), F.xxhash64("ord", "rk")
+    spared = in_bitmap(rows, row, dropped, member, keep=False)
     spared = spared.withColumns({"n_lines": n_lines, "n_repeated": zero, "n_near": zero})
-    hit = in_bitmap(rows, ordinal(F.col("doc_id")), dropped, F.col("ord")).withColumn("__ord", ordinal(F.col("doc_id")))
-    hit = hit.join(dropped.withColumnRenamed("ord", "__ord").hint("merge"), "__ord", "left")
+    ord_, rk = row_keys()
+    hit = in_bitmap(rows, row, dropped, member).withColumns({"__ord": ord_, "__rk": rk})
+    hit = hit.join(dropped.withColumnsRenamed({"ord": "__ord", "rk": "__rk"}).hint("merge"), ["__ord", "__rk"], "left")
     none = F.array().cast("array<int>")
     gone = F.concat(F.coalesce("repeated_at", none), F.coalesce("near_at", none))
 

@@ -41,13 +41,15 @@ def test_bit_parallel_distance(spark):
         assert got and all(r.w == (distance(r.a, r.b) <= k) for r in got), [(r, distance(r.a, r.b)) for r in got if r.w != (distance(r.a, r.b) <= k)][:5]
 
 
-def brute(rows, k, least):
-    order = sorted({(-(1 << 63) if d is None else d, i, ln.strip(" \t\r")) for d, t, *_ in rows if t is not None for i, ln in enumerate(t.split("\n"))})
-    order = [o for o in order if o[2]]
+def brute(rows, k, least, hashes=None):
+    """hashes: of each row's doc_id and text, where rows share a doc_id."""
+    keys = [(-(1 << 63) if r[0] is None else r[0], (h % (1 << 31), h)) for r, h in zip(rows, hashes or [0] * len(rows))]
+    order = sorted({(d, i, h, ln.strip(" \t\r")) for (d, h), r in zip(keys, rows) if r[1] is not None for i, ln in enumerate(r[1].split("\n"))})
     first, near = {}, set()
-    for d, i, ln in order:
-        first.setdefault(ln, (d, i))
-    distinct = [ln for ln, _ in sorted(first.items(), key=lambda x: x[1]) if len(ln) >= least]
+    for d, i, h, ln in order:
+        if ln:
+            first.setdefault(ln, (d, i, h))
+    distinct = [ln for ln in first if len(ln) >= least]
     letters = {ln: Counter(ln) for ln in distinct}
     for j, ln in enumerate(distinct):
         for other in distinct[:j]:
@@ -55,14 +57,14 @@ def brute(rows, k, least):
                 near.add(ln)
                 break
     out = []
-    for d, t, *rest in rows:
+    for (d, t, *rest), (o, h) in zip(rows, keys):
         if t is None:
             out.append((d, None, *rest, 0, 0, 0))
             continue
         keep, rep, nr = [], 0, 0
         for i, raw in enumerate(t.split("\n")):
             ln = raw.strip(" \t\r")
-            if ln and first[ln] != (-(1 << 63) if d is None else d, i):
+            if ln and first[ln] != (o, i, h):
                 rep += 1
             elif ln in near:
                 nr += 1
@@ -84,10 +86,40 @@ def test_matches_brute_force(spark):
             own.append(rng.choice([s, s, edited(rng, s, 1), edited(rng, s, 2), edited(rng, s, 3), "", "  " + s + "\r", shared + s[:30], s[:30] + shared]))
         rows.append((d * 3 % 61, "\n".join(own), "en", 1))
     rows += [(None, base[0] + "\nown line of a null id, long enough", "x", 2), (70, None, "x", 3), (71, "", "x", 4), (72, "\n\n", "x", 5), (73, "a" * 400 + "\n" + "a" * 401 + "\n" + "a" * 399, "x", 6)]
+    # Rows that share or lack a doc_id are documents of their own.
+    rows += [(None, f"unique to row {k} without an id, surely\n{base[k]}", "x", 7) for k in range(6)] + [(None, None, "x", 8), (None, "", "x", 8)]
+    rows += [(7, f"{base[k]}\nonly in copy {'abcdef'[k] * 9} of document seven", "x", 9) for k in range(6)] + [(8, "twice the same row, all of it\nindeed", "x", 9)] * 2
+    # A template, so that many lines share segments.
+    rows += [(100 + d, "\n".join(f"Invoice number {rng.randrange(40) * rng.choice([1, 100, 2500]):08d} was issued on day {rng.randrange(3)}" for _ in range(6)), "x", 9) for d in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, pos int")
-    want = brute([(r[0], r[1], r[3]) for r in rows], 2, 24)
-    for group_rows in (1000, 3):
-        got = lines.dedup_lines(df, group_rows=group_rows).select("doc_id", "text", "pos", "n_lines", "n_repeated", "n_near").collect()
+    hashes = [r[0] for r in df.selectExpr("xxhash64(doc_id, text)").collect()]
+    columns = ("doc_id", "text", "pos", "n_lines", "n_repeated", "n_near")
+    want = brute([(r[0], r[1], r[3]) for r in rows], 2, 24, hashes)
+    for group_rows in (50, 3):
+        got = lines.dedup_lines(df, group_rows=group_rows).select(*columns).collect()
         assert sorted(map(tuple, got), key=str) == want
     assert lines.dedup_lines(df.limit(0)).count() == 0
-    assert sorted(map(tuple, lines.dedup_lines(df, max_edits=1).select("doc_id", "text", "pos", "n_lines", "n_repeated", "n_near").collect()), key=str) == brute([(r[0], r[1], r[3]) for r in rows], 1, 24)
+    assert sorted(map(tuple, lines.dedup_lines(df, max_edits=1).select(*columns).collect()), key=str) == brute([(r[0], r[1], r[3]) for r in rows], 1, 24, hashes)
+
+
+def test_lines_that_occur_once_stay(spark):
+    rows = [(None, "header line\nunique to A"), (None, "unique to B\nheader line"), (7, "only first\nx"), (7, "x\nonly second")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = Counter(ln for r in got for ln in r.text.split("\n"))
+    assert left == Counter(["header line", "unique to A", "unique to B", "only first", "only second", "x"])
+
+
+def test_templates_are_not_quadratic(spark):
+    """Pairs that share two segments would be 4.5 million here."""
+    text = [(d, "\n".join(f"Order {(d * 100 + k) * 7919 % 1000003:07d} of the warehouse has left the yard" for k in range(100))) for d in range(30)]
+    got = lines.dedup_lines(spark.createDataFrame(text, "doc_id long, text string")).collect()
+    order = [ln for d, t in text for ln in t.split("\n")]
+    seen, want, digits = set(), Counter(), lambda ln: ln[6:13]
+    for d, ln in ((d, ln) for d, t in text for ln in t.split("\n")):
+        x = digits(ln)
+        masked = {x[:i] + "?" + x[i + 1 : j] + "?" + x[j + 1 :] for i in range(7) for j in range(i + 1, 7)}
+        shifted = {x[:i] + x[i + 1 :] for i in range(7)}
+        if masked & seen or any(s in seen for s in shifted):
+            want[d] += 1
+        seen |= masked | shifted
+    assert len(order) == len(set(order)) and {r.doc_id: r.n_near for r in got} == {d: want[d] for d, _ in text}
