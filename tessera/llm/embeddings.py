@@ -2,8 +2,8 @@
 
 Vectors are scaled to length one and turned into the axes of a PCA, an orthogonal
 change of basis that keeps every cosine. Unit vectors with cosine >= t lie within
-r = sqrt(2 - 2t), so they differ by at most r along the first axis: vectors are
-dealt to cells of width r on it, and a cell meets only itself and the next one.
+r = sqrt(2 - 2t), so they differ by at most r along every axis: vectors are dealt to
+cells of width r on the leading CELL_AXES, and a cell meets only itself and its neighbours.
 Cells are cut into tiles of bounded size, and pairs of tiles are compared in
 blocks: the products of the leading dimensions are summed first, what the rest
 can add is bounded by the product of the suffix norms, and a pair stops once the
@@ -18,17 +18,24 @@ into its local component; links themselves are not returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Forest, connected_components, materialize
+from tessera.llm.common import Forest, connected_components, materialize, scratch
 
 #: Rows from which the axes are found; they steer pruning only, never the result.
 PCA_SAMPLE = 4096
 STEP = 8
+#: Leading axes that cells are cut on, and parts into which the rows of a cell or the
+#: copies of a vector are dealt for joins.
+CELL_AXES = 2
+SALTS = 16
+#: Components that a tile holds at most, about.
+TILE_VALUES = 1 << 21
 
 
 def principal_axes(sample: np.ndarray) -> np.ndarray:
@@ -96,7 +103,7 @@ def _tile_pair(axes_by_dim: dict[int, np.ndarray], t: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int = 8192) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int = 32_768) -> DataFrame:
     """One row per row of vectors (vec_id, embedding, label): vec_id, n_links,
     component_id, kept.
 
@@ -122,48 +129,66 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int
         by_dim.setdefault(r["dim"], []).append(r["embedding"])
     axes = {d: principal_axes(np.array(v, np.float64)) for d, v in by_dim.items() if len(v) > 1 and d <= 4096}
 
-    # The first coordinate, by built-in functions; other lengths stay in one cell.
+    # The leading coordinates, by built-in functions; other lengths stay in one cell.
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-6
+    base = 2 * int(np.ceil(1 / width)) + 5  # more than there are cells along an axis
     norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    cell = F.lit(0)
+    cell = F.lit(0).cast("long")
     for d, a in axes.items():
-        first = F.array(*[F.lit(float(x)) for x in a[:, 0]])
-        along = F.aggregate(F.zip_with(e, first, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x) / norm
-        cell = F.when(F.col("dim") == d, F.floor(along / width).cast("int")).otherwise(cell)
+        own = F.lit(0).cast("long")
+        for k in range(min(CELL_AXES, d)):
+            axis = F.array(*[F.lit(float(x)) for x in a[:, k]])
+            along = F.aggregate(F.zip_with(e, axis, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x) / norm
+            own = own + F.floor(along / width).cast("long") * base**k
+        cell = F.when(F.col("dim") == d, own).otherwise(cell)
     celled = classes.select("label", "dim", "rep", "weight", "embedding", cell.alias("cell"))
     group = ["label", "dim", "cell"]
-    tiles = celled.groupBy(*group).count().select(*group, F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles"))
-    nxt = tiles.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("tiles_next"))
-    prev = tiles.select("label", "dim", (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("tiles_prev"))
-    plan = tiles.join(nxt, group, "left").join(prev, group, "left").na.fill(0, ["tiles_next", "tiles_prev"])
-    placed = celled.join(plan, group).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    tiles = materialize(celled.groupBy(*group).count().select(*group, F.ceil(F.col("count") / F.least(F.lit(tile_rows), F.greatest(F.lit(1), F.floor(TILE_VALUES / F.col("dim"))))).cast("int").alias("tiles")), "vec-tiles")
+    # Of each cell the tiles of its neighbours, by how far their numbers lie apart.
+    steps = sorted(sum(o * base**k for k, o in enumerate(c)) for c in product((-1, 0, 1), repeat=CELL_AXES))
+    ahead = [x for x in steps if x > 0]
+    around = tiles.select("label", "dim", "cell", "tiles", F.explode(F.array(*[F.lit(x).cast("long") for x in steps])).alias("step"))
+    around = around.select("label", "dim", (F.col("cell") - F.col("step")).alias("cell"), F.struct("step", "tiles").alias("one"))
+    around = around.groupBy(*group).agg(F.map_from_entries(F.collect_list("one")).alias("around"))
+    # A cell may hold a third of all rows: both sides are salted, the vectors by rep.
+    spread = tiles.join(around, group).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = celled.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).join(spread, [*group, "salt"])
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("tiles")).cast("int"))
 
     def pair(cell_, i, j, step, side):
-        return F.struct(cell_.alias("pc"), F.lit(step).alias("step"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+        return F.struct(cell_.alias("pc"), F.lit(step).cast("long").alias("step"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.alias("side"))
 
     c, tile = F.col("cell"), F.col("tile")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    none = F.array().cast("array<struct<pc:int,step:int,i:int,j:int,side:int>>")
-    meets = F.concat(
-        F.transform(upto(F.col("tiles")), lambda k: pair(c, F.least(tile, k), F.greatest(tile, k), 0, 0).withField("side", F.when(k < tile, 1).otherwise(0))),
-        F.when(F.col("tiles_next") > 0, F.transform(upto(F.col("tiles_next")), lambda k: pair(c, tile, k, 1, 0))).otherwise(none),
-        F.when(F.col("tiles_prev") > 0, F.transform(upto(F.col("tiles_prev")), lambda k: pair(c - 1, k, tile, 1, 1))).otherwise(none),
-    )
-    dealt = placed.select("label", "dim", "rep", "weight", "embedding", F.explode(meets).alias("m")).select(
+    none = F.array().cast("array<int>")
+
+    def of(step: int):
+        """The tiles of a neighbouring cell."""
+        n = F.coalesce(F.try_element_at("around", F.lit(step).cast("long")), F.lit(0))
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
+
+    met = [F.transform(of(0), lambda k: pair(c, F.least(tile, k), F.greatest(tile, k), 0, F.when(k < tile, 1).otherwise(0)))]
+    for x in ahead:
+        met.append(F.transform(of(x), lambda k, x=x: pair(c, tile, k, x, F.lit(0))))
+        met.append(F.transform(of(-x), lambda k, x=x: pair(c - x, k, tile, x, F.lit(1))))
+    dealt = placed.select("label", "dim", "rep", "weight", "embedding", F.explode(F.concat(*met)).alias("m")).select(
         "label", "dim", "m.pc", "m.step", "m.i", "m.j", "m.side", "rep", "weight", "embedding"
     )
     found = dealt.groupBy("label", "dim", "pc", "step", "i", "j").applyInArrow(_tile_pair(axes, threshold), "rep long, linked long, root long")
     found = materialize(found, "vec-links")
 
-    comps = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "vec-cc")
-    linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    settled = (
-        classes.select("label", "dim", "h1", "h2", "rep", "weight")
-        .join(linked, "rep", "left")
-        .join(comps, F.col("rep") == F.col("node"), "left")
-        .select("label", "dim", "h1", "h2", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    done = good.select("vec_id", "label", "dim", "h1", "h2").join(settled, ["label", "dim", "h1", "h2"])
+    with scratch(spark, "vec-settled"):
+        comps = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "vec-cc")
+        linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
+        settled = (
+            classes.select("label", "dim", "h1", "h2", "rep", "weight")
+            .join(linked, "rep", "left")
+            .join(comps, F.col("rep") == F.col("node"), "left")
+            .select("label", "dim", "h1", "h2", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        )
+        settled = materialize(settled, "vec-settled")
+    # So may the copies of a vector be.
+    spread = settled.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    done = good.select("vec_id", "label", "dim", "h1", "h2").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).join(spread, ["label", "dim", "h1", "h2", "salt"])
     rest = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.select("vec_id", "n_links", "component_id").unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")) & F.col("vec_id").isNotNull())
 
