@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Forest, batches_of, connected_components, materialize
+from tessera.llm.common import Forest, batches_of, connected_components, materialize, scratch, spread
 
 SEED = 42
+#: Parts into which the rows of one fingerprint are dealt for the join with its class.
+SALTS = 16
 FAN = 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -77,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             out = [fingerprint(t, width) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def spans(bits: list[int], parts: int) -> list[int]:
@@ -215,19 +217,24 @@ def links(reps: DataFrame, radius: int = 4, node_rows: int = 200_000) -> DataFra
     join every group whose members are linked by at most radius differing bits;
     a spanning subset of all links, at most one per member and node."""
     masks = node_masks(reps.count(), radius)
-    free = [spans([b for b in range(64) if not m >> b & 1], radius + 1) for m in masks]
     keyed = reps.select(
         "fp", "rep",
         F.posexplode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(masks)])).alias("t", "key"),
     )
-    large = keyed.groupBy("key").count().where(F.col("count") > node_rows).select("key")
-    if large.limit(1).count():
-        large = materialize(large, "simhash-nodes")
-        table = F.array(*[F.array(*[F.lit(signed(m)) for m in part]) for part in free])
-        split = keyed.join(large, "key", "left_semi").select(
-            "fp", "rep", "t", F.explode(F.transform(table[F.col("t")], lambda m, j: F.xxhash64("key", j, F.col("fp").bitwiseAND(m)))).alias("key")
-        )
-        keyed = keyed.join(large, "key", "left_anti").select("fp", "rep", "t", "key").unionByName(split)
+    done = None
+    while True:
+        large = materialize(keyed.groupBy("key").count().where(F.col("count") > node_rows).select("key"), "simhash-nodes")
+        if large.isEmpty() or all(m.bit_count() > 64 - 2 * (radius + 1) for m in masks):
+            break
+        rest = keyed.join(large, "key", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        parts = [spans([b for b in range(64) if not m >> b & 1], radius + 1) for m in masks]
+        table = F.array(*[F.array(*[F.lit(signed(p)) for p in own]) for own in parts])
+        each = F.posexplode(F.transform(table[F.col("t")], lambda p, j: F.xxhash64("key", j, F.col("fp").bitwiseAND(p))))
+        split = keyed.join(large, "key", "left_semi").select("fp", "rep", F.col("t").alias("above"), each.alias("j", "key"))
+        keyed = split.select("fp", "rep", (F.col("above") * (radius + 1) + F.col("j")).alias("t"), "key")
+        masks = [m | p for m, own in zip(masks, parts) for p in own]
+    keyed = keyed if done is None else done.unionByName(keyed)
     dealt = keyed.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")))
     return dealt.mapInArrow(_link_stream(radius), "u long, v long")
 
@@ -243,10 +250,15 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, node_ro
     are ignored; an empty table gives an empty result.
     """
     fp = materialize(fingerprints(docs, width), "simhash-fp")
-    reps = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    found = connected_components(links(reps.where("rep is not null"), radius, node_rows), "simhash-cc")
-    classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fp.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession, "simhash-classes"):
+        reps = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+        found = connected_components(links(reps.where("rep is not null"), radius, node_rows), "simhash-cc")
+        classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        classes = materialize(classes, "simhash-classes")
+    # A fingerprint may be a third of all rows': both sides are salted, the rows by doc_id.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    spread = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return fp.withColumn("salt", salt).join(spread, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
