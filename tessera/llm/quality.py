@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches_of, in_bitmap, materialize, ordinal, read_table
+from tessera.llm.common import batches_of, in_bitmap, materialize, read_table, row_keys, scratch, spread
 
 #: Labelled rows that the classifiers are fitted on at most; those of least hash.
 SAMPLE = 20_000
@@ -110,7 +110,8 @@ class Model:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """The sample: doc_id, text, quality, toxic and the half each row falls in."""
+    """The sample: doc_id, quality, toxic, the half each row falls in, and text, the
+    least where rows share the doc_id."""
     some = (
         labels.where("doc_id is not null and (quality is not null or toxic is not null)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -120,7 +121,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         .limit(sample)
         .select("doc_id", "quality", "toxic", F.pmod("h", F.lit(2)).alias("half"))
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # bounded by sample
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # bounded by sample
+    return texts.groupBy(*some.columns).agg(F.min("text").alias("text"))
 
 
 def _find_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -165,20 +167,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
+def _keys() -> list[Column]:
+    return row_keys(F.col("source"), F.col("lang"))
+
+
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """(ord, host, path, quality, toxic): each document's evidence as log-odds."""
+    """(ord, rk, host, path, quality, toxic): each row's evidence as log-odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "text", 4 << 20):
             q, t = model.evidence([model.features(x or "") for x in batch.column("text").to_pylist()])
-            yield pa.record_batch([batch.column("ord"), batch.column("host"), batch.column("path"), pa.array(q), pa.array(t)], names=["ord", "host", "path", "quality", "toxic"])
+            kept = [batch.column(c) for c in ("ord", "rk", "host", "path")]
+            yield pa.record_batch([*kept, pa.array(q), pa.array(t)], names=["ord", "rk", "host", "path", "quality", "toxic"])
 
     # A source may be a name, a host with a path, or a URL; sections by language are paths.
     place = F.regexp_replace(F.coalesce("source", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     host = F.substring_index(place, "/", 1)
     folder = F.when(F.contains(place, F.lit("/")), F.regexp_replace(place, "[^/]*$", "")).otherwise(place)
-    rows = docs.select(ordinal(F.col("doc_id")).alias("ord"), host.alias("host"), F.concat_ws("/", folder, F.coalesce("lang", F.lit(""))).alias("path"), "text")
-    return rows.mapInArrow(run, "ord long, host string, path string, quality double, toxic double")
+    rows = docs.select(*_keys(), host.alias("host"), F.concat_ws("/", folder, F.coalesce("lang", F.lit(""))).alias("path"), "text")
+    return spread(rows).mapInArrow(run, "ord long, rk long, host string, path string, quality double, toxic double")
 
 
 def _sigmoid(x: Column) -> Column:
@@ -219,32 +226,36 @@ def shifts(scored: DataFrame, column: str) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
-    """One row per row of docs: ord (doc_id, nulls as the least long), host, path,
-    quality_evidence, toxic_evidence, p_quality, p_toxic, keep.
+    """One row per row of docs: ord (doc_id, nulls as the least long) and rk, which
+    tell rows apart (common.row_keys), host, path, quality_evidence, toxic_evidence, p_quality, p_toxic, keep.
 
     Null texts, sources and languages are empty. Rows that repeat are scored each.
     Without labels of both kinds nothing is rejected. Other columns are ignored; an
     empty table gives an empty result.
     """
     scored = materialize(evidence(docs, fit(docs, labels, sample)), "quality-evidence")
-    salted = scored.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)))
+    salted = scored.withColumn("salt", F.pmod(F.xxhash64("ord", "rk"), F.lit(SALTS)))
     both = shifts(scored, "quality").withColumnRenamed("shift", "shift_q").join(shifts(scored, "toxic").withColumnRenamed("shift", "shift_t"), ["host", "path"])
     spread = both.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     out = salted.join(spread, ["host", "path", "salt"]).select(
-        "ord", "host", "path", F.col("quality").alias("quality_evidence"), F.col("toxic").alias("toxic_evidence"),
+        "ord", "rk", "host", "path", F.col("quality").alias("quality_evidence"), F.col("toxic").alias("toxic_evidence"),
         _sigmoid(F.col("quality") + F.col("shift_q")).alias("p_quality"), _sigmoid(F.col("toxic") + F.col("shift_t")).alias("p_toxic"),
     )
     return out.withColumn("keep", (F.col("p_quality") >= least_quality) & (F.col("p_toxic") < most_toxic))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that are kept, columns as they are. Rows that share a doc_id
-    go if one of them is rejected."""
-    rejected = materialize(score(docs, labels, sample).where("not keep").select("ord").distinct(), "quality-rejected")
-    at = ordinal(F.col("doc_id"))
-    spared = in_bitmap(docs, at, rejected, F.col("ord"), keep=False)
-    doubtful = in_bitmap(docs, at, rejected, F.col("ord")).withColumn("__ord", at)
-    return spared.unionByName(doubtful.join(rejected.withColumnRenamed("ord", "__ord").hint("merge"), "__ord", "left_anti").drop("__ord"))
+    """The rows of docs that are kept, columns as they are. Each row is judged for
+    itself, with or without a doc_id of its own; rows equal in doc_id, text, source
+    and lang have one score."""
+    with scratch(docs.sparkSession, "quality-rejected"):
+        rejected = materialize(score(docs, labels, sample).where("not keep").select("ord", "rk").distinct(), "quality-rejected")
+    row, member = F.xxhash64(*_keys()), F.xxhash64("ord", "rk")
+    spared = in_bitmap(docs, row, rejected, member, keep=False)
+    ord_, rk = _keys()
+    doubtful = in_bitmap(docs, row, rejected, member).withColumns({"__ord": ord_, "__rk": rk})
+    bad = rejected.withColumnsRenamed({"ord": "__ord", "rk": "__rk"}).hint("merge")
+    return spared.unionByName(doubtful.join(bad, ["__ord", "__rk"], "left_anti").drop("__ord", "__rk"))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
