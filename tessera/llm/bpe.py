@@ -27,6 +27,10 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+#: Pairs of tokens whose compatibility is remembered at most.
+MOST_PAIRS = 500_000
+
+
 class PrefixBpe:
     """Tokens of single pre-tokenized words, given as strings of symbols.
 
@@ -87,6 +91,8 @@ class PrefixBpe:
                         key = last[j] << 20 | t
                         ok = fits.get(key)
                         if ok is None:
+                            if len(fits) >= MOST_PAIRS:
+                                fits.clear()
                             ok = fits[key] = last[j] >= 0 and self._compatible(last[j], t)
                         if not ok:
                             continue

@@ -3,7 +3,8 @@
 The tables of single words come from bpe.PrefixBpe.table. A text is parted at its
 white space into chunks, which its pre-tokenizer never joins, so the count of a
 prefix is the count of the whole chunks before it plus an entry of one chunk's
-table. With that, how much of a text fits a budget is read off, not encoded.
+table. Counts of texts are last entries of these tables, budgets are read off them;
+no text, and no part of one, is encoded again.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import WHITE, ChunkMemo, byte_alphabet, chunks_of, load
-from tessera.llm.common import batches_of, read_table
+from tessera.llm.common import batches_of, read_table, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -36,19 +37,20 @@ class PrefixCounter:
         self._split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.special = sorted(special, key=len, reverse=True)
         self._bytes = byte_alphabet()
-        self._pieces: dict[str, int] = {}
+        self._tables: dict[str, bytes] = {}
         self._most = memo
         self.counts = ChunkMemo(self.count_chunk, memo)
 
-    def _piece(self, symbols: str) -> int:
-        """Tokens of one pre-token."""
-        known = self._pieces.get(symbols)
+    def _table(self, symbols: str) -> bytes | list[int]:
+        """The number of tokens of every prefix of one pre-token, by symbols; those of
+        short ones are kept, a byte each."""
+        known = self._tables.get(symbols)
         if known is None:
-            known = 1 if self.model.last.get(symbols, -1) >= 0 else self.model.table(symbols)[1][-1]
+            known = self.model.table(symbols)[1]
             if len(symbols) <= 64:
-                if len(self._pieces) >= self._most:
-                    self._pieces.clear()
-                self._pieces[symbols] = known
+                if len(self._tables) >= self._most:
+                    self._tables.clear()
+                known = self._tables[symbols] = bytes(known)
         return known
 
     def _segments(self, chunk: str) -> list[tuple[str, bool]]:
@@ -66,7 +68,7 @@ class PrefixCounter:
     def count_chunk(self, chunk: str) -> int:
         total = 0
         for part, special in self._segments(chunk) if "<" in chunk else ((chunk, False),):
-            total += 1 if special else sum(self._piece(symbols) for symbols, _ in self._split(part))
+            total += 1 if special else sum(self._table(symbols)[-1] for symbols, _ in self._split(part))
         return total
 
     def count(self, text: str) -> int:
@@ -86,17 +88,17 @@ class PrefixCounter:
                 if a == 0:
                     whole = "".join(self._bytes[x] for x in chunk[:run].encode())
                     out += self._by_code_points(whole, chunk[:run])
-                done += self._piece(symbols)
+                done += self._table(symbols)[-1]
                 continue
             table = self._by_code_points(symbols, source)
             if source in ("'re", "'ve", "'ll"):  # cut short, these are no contractions
                 table[1] = self.count_chunk(source[:2])
             out += [done + x for x in table[max(0, len(out) - 1 - a) :]]
-            done += self._piece(symbols)
+            done += self._table(symbols)[-1]
         return out
 
     def _by_code_points(self, symbols: str, source: str) -> list[int]:
-        counts = self.model.table(symbols)[1]
+        counts = self._table(symbols)
         at, out = 0, []
         for ch in source:
             at += len(ch.encode())
@@ -155,7 +157,7 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) ->
             )
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
 def prefix_tables(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -26,15 +26,25 @@ def test_counts_and_prefixes_match_the_library():
 
 def test_table(spark):
     lib = Tokenizer.from_file(PATH)
-    texts = [*ODD, None, "word " * 3000, "x" * 5000, "same", "same"]
+    texts = [*ODD, None, "word " * 60, "x" * 200, "same", "same", "some words, then a longwordwithoutanyblank and more " * 4]
     df = spark.createDataFrame([(i // 2, t, "q") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
-    got = sorted(tuple(r) for r in token_counts.count_tokens(df).collect())
-    want = []
-    for i, t in enumerate(texts):
-        t = t or ""
-        n = len(lib.encode(t, add_special_tokens=False).ids)
-        fit = len(t) if n <= 1024 else next(r[4] for r in got if r[1] == len(t.encode()))
-        want.append((i // 2, len(t.encode()), n, n > 1024, fit))
-    assert got == sorted(want)
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    for limit in (7, 33):
+        want = []
+        for i, t in enumerate(texts):
+            t = t or ""
+            n = count(t)
+            fit = max(j for j in range(len(t) + 1) if count(t[:j]) <= limit) if n > limit else len(t)
+            want.append((i // 2, len(t.encode()), n, n > limit, fit))
+        assert sorted(tuple(r) for r in token_counts.count_tokens(df, limit=limit).collect()) == sorted(want)
     assert token_counts.count_tokens(df.limit(0)).count() == 0
     assert [r.counts[0] for r in token_counts.prefix_tables(df.limit(3)).collect()] == [0, 0, 0]
+
+
+def test_long_texts(spark):
+    lib = Tokenizer.from_file(PATH)
+    for text in ("word " * 3000, "x" * 5000, "é" * 3000, " " * 4000 + "end"):
+        row = token_counts.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+        count = lambda j: len(lib.encode(text[:j], add_special_tokens=False).ids)  # noqa: E731, B023
+        assert row.n_tokens == count(len(text)) and count(row.fit_chars) <= 1024
+        assert row.fit_chars == len(text) or count(row.fit_chars + 1) > 1024
