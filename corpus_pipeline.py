@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import lines, packing, quality, shingles
-from tessera.llm.common import materialize, read_table
+from tessera.llm.common import materialize, read_table, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,7 +30,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the
+    document of the smallest doc_id stays: op9's index over five-word fingerprints finds
+    the closest, and what no 64 bits can tell is searched exactly."""
     return shingles.keep_first(docs).select(*COLUMNS)
 
 
@@ -54,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark, f"pipeline-{name}"):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import WHITE, chunks_of
-from tessera.llm.common import batches_of, materialize, read_table
+from tessera.llm.common import batches_of, materialize, read_table, spread
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -173,7 +173,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECE_SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, _PIECE_SCHEMA)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

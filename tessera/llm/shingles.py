@@ -10,14 +10,15 @@ Jaccard similarity of their sets is 0.8 or more. Candidates come from three sear
   the least n - ceil(0.8 n) + 1 hashes of each. Of the sets that share one, stars first:
   each with the first of about its size.
 * The same groups again, now all pairs that the links so found leave in different
-  components. So a group of near copies yields few pairs, and none is lost.
+  components. Only members of such pairs go on, with their sets, and of each group a
+  forest of links comes back: no pairs leave a task but links, at most one per member.
 
-Pairs that share a prefix hash go on where a parity sketch allows it: as many bits as the
-set has hashes, each flipped by the hashes that fall on it. Two sets differ in at least
-as many hashes as their sketches in bits. The sets themselves then decide.
+Pairs that share a prefix hash are compared where a parity sketch allows it: as many bits
+as the set has hashes, each flipped by the hashes that fall on it. Two sets differ in at
+least as many hashes as their sketches in bits. The sets themselves then decide.
 
-Equal sets are one class before any search. Groups of more than TILE sets are dealt to
-tiles, and pairs of tiles to tasks.
+Equal sets are one class before any search. Large groups are dealt to tiles, and pairs
+of tiles to tasks.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.common import batches_of, connected_components, in_bitmap, materialize, row_keys
+from tessera.llm.common import batches_of, connected_components, in_bitmap, materialize, row_keys, scratch, spread
 from tessera.llm.simhash import shingle_hashes
 
 WIDTH = 5
 BLOCK = 256
+#: Sets, and hashes of sets, that a tile of a group holds at most, about.
 TILE = 4096
+TILE_HASHES = 1 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -50,10 +53,10 @@ def _class(hashes: np.ndarray) -> int:
     return xxh64_intdigest(hashes.tobytes(), 7)
 
 
-def parity(hashes: np.ndarray) -> bytes:
+def parity(hashes: np.ndarray, finer: int = 1) -> bytes:
     """The sketch of a set: a power of two of bits, 64 or more and no fewer than the set
-    has hashes; bit h mod their number is flipped by each hash h."""
-    bits = max(64, 1 << (max(len(hashes), 1) - 1).bit_length())
+    has hashes, times finer; bit h mod their number is flipped by each hash h."""
+    bits = finer * max(64, 1 << (max(len(hashes), 1) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -93,7 +96,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             columns = [batch.column("ord"), batch.column("rk"), _signed(cls), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.record_batch(columns, names=["ord", "rk", "cls", "n", "fp", "sketch", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "ord long, rk long, cls long, n int, fp long, sketch binary, prefix array<long>")
+    return spread(_texts(docs)).mapInArrow(run, "ord long, rk long, cls long, n int, fp long, sketch binary, prefix array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -161,67 +164,134 @@ def group_pairs(n: np.ndarray, sketch: list[bytes], component: np.ndarray, tile:
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
-def _pair_stream(stars: bool):
-    """mapInArrow function: rows sorted by group and n in, candidate pairs of classes
-    out."""
+def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], listed: str) -> Iterator[tuple[tuple, list[np.ndarray], list]]:
+    """((token, a, b), arrays of the columns, values of the listed column) of each group of
+    rows sorted by token, a, b; groups of one row are left out."""
+    held, parts = None, []
+
+    def whole():
+        return held, [np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(len(columns))], [x for p in parts for x in p[-1]]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, a, b = (np.asarray(batch.column(c)) for c in ("token", "a", "b"))
+        arrays, values = [np.asarray(batch.column(c)) for c in columns], batch.column(listed)
+        new = np.flatnonzero((np.diff(token) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
+        starts = [0, *new.tolist(), len(token)]
+        for x, y in zip(starts, starts[1:]):
+            key = (int(token[x]), int(a[x]), int(b[x]))
+            if key != held:
+                if sum(len(p[0]) for p in parts) > 1:
+                    yield whole()
+                held, parts = key, []
+            part = values.slice(x, y - x)
+            parts.append([*(c[x:y] for c in arrays), part.to_pylist() if listed == "sketch" else [np.asarray(v.values) for v in part]])
+    if sum(len(p[0]) for p in parts) > 1:
+        yield whole()
+
+
+def _gathered(found: Iterator[np.ndarray], names: list[str], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Rows of integers in batches, those of one batch once each."""
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        rows = np.unique(np.concatenate(held), axis=0)
+        return pa.record_batch([np.ascontiguousarray(c) for c in rows.T], names=names)
+
+    for rows in found:
+        held.append(rows)
+        n += len(rows)
+        if n > most:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
 
-    def flush(key: tuple, parts: list) -> tuple[np.ndarray, np.ndarray]:
-        cls, n, component, tile = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
-        apart = None if stars or key[1] == key[2] else tile
-        u, v = group_pairs(n, [s for p in parts for s in p[4]], component, apart, stars)
-        u, v = cls[u], cls[v]
-        return np.minimum(u, v), np.maximum(u, v)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts, us, vs, n = None, [], [], [], 0
-
-        def close() -> int:
-            if held is None or sum(len(p[0]) for p in parts) < 2:
-                return 0
-            u, v = flush(held, parts)
-            us.append(u), vs.append(v)
-            return len(u)
-
-        def out() -> pa.RecordBatch:
-            pairs = np.unique(np.stack((np.concatenate(us), np.concatenate(vs)), axis=1), axis=0)
-            us.clear(), vs.clear()
-            return pa.record_batch([np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])], names=["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, a, b = (np.asarray(batch.column(c)) for c in ("token", "a", "b"))
-            columns = [np.asarray(batch.column(c)) for c in ("cls", "n", "component", "tile")] + [batch.column("sketch").to_pylist()]
-            new = np.flatnonzero((np.diff(token) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
-            starts = [0, *new.tolist(), len(token)]
-            for x, y in zip(starts, starts[1:]):
-                key = (token[x], a[x], b[x])
-                if key != held:
-                    n += close()
-                    held, parts = key, []
-                parts.append([c[x:y] for c in columns])
-            if n > 200_000:
-                yield out()
-                n = 0
-        close()
-        if us:
-            yield out()
+def _star_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group and n in, candidate pairs of classes with the first of
+    about their size out."""
 
-    return run
+    def pairs() -> Iterator[np.ndarray]:
+        for _, (cls, n, component, _), sketch in _grouped(batches, ("cls", "n", "component", "tile"), "sketch"):
+            u, v = group_pairs(n, sketch, component, None, True)
+            yield np.stack((np.minimum(cls[u], cls[v]), np.maximum(cls[u], cls[v])), axis=1)
 
+    yield from _gathered(pairs(), ["u", "v"])
 
-def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets have a similarity of 0.8 or more."""
-    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "shingle-wanted")
+
+def _member_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group and n in, those that may be similar to one of another
+    component out."""
+
+    def members() -> Iterator[np.ndarray]:
+        for key, (cls, n, component, tile), sketch in _grouped(batches, ("cls", "n", "component", "tile"), "sketch"):
+            some = np.unique(np.concatenate(group_pairs(n, sketch, component, None if key[1] == key[2] else tile, False)))
+            yield np.stack((np.full(len(some), key[0]), cls[some], n[some], component[some]), axis=1)
+
+    yield from _gathered(members(), ["token", "cls", "n", "component"])
+
+
+def _link_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their sets, sorted by group and n, in; out of each group links that join
+    what any of its links join."""
+
+    def links() -> Iterator[np.ndarray]:
+        for key, (cls, n, component, tile), hashes in _grouped(batches, ("cls", "n", "component", "tile"), "hashes"):
+            _, own = np.unique(component, return_inverse=True)
+            root, own = list(range(int(own.max()) + 1)), own.tolist()
+            u, v = group_pairs(n, [parity(h.view(np.uint64), 16) for h in hashes], component, None if key[1] == key[2] else tile, False)
+            kept = []
+            for i, j in zip(u.tolist(), v.tolist()):
+                x, y = _find(root, own[i]), _find(root, own[j])
+                if x != y and 9 * len(np.intersect1d(hashes[i], hashes[j], True)) >= 4 * (n[i] + n[j]):
+                    root[max(x, y)] = min(x, y)
+                    kept.append((cls[i], cls[j]))
+            if kept:
+                yield np.array(kept, np.int64)
+
+    yield from _gathered(links(), ["u", "v"])
+
+
+def _find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, hashes) of the wanted classes."""
     reps = classes.join(wanted.hint("merge"), "cls", "left_semi").select(F.xxhash64("rep.ord", "rep.rk").alias("key"))
     some = in_bitmap(docs, F.xxhash64(*_keys()), reps, F.col("key"))
     sets = _sets(some).join(wanted.hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes"))
-    sets = materialize(sets, "shingle-sets")
+    return materialize(sets, "shingle-sets")
+
+
+def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets have a similarity of 0.8 or more."""
+    sets = _sets_of(docs, classes, materialize(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "shingle-wanted"))
     side = lambda s: sets.select(F.col("cls").alias(s), F.col("hashes").alias(f"{s}_set")).hint("merge")
     both = F.size(F.array_intersect("u_set", "v_set"))
     return pairs.join(side("u"), "u").join(side("v"), "v").where(9 * both >= 4 * (F.size("u_set") + F.size("v_set"))).select("u", "v")
 
 
+def _tiled(rows: DataFrame, tiles: Column, stars: bool = False) -> DataFrame:
+    """rows dealt to (a, b): with stars each to its own tile of its group, else to every
+    pair of tiles that its own is in."""
+    dealt = rows.withColumn("tiles", tiles.cast("int")).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    if stars:
+        return dealt.withColumns({"a": F.col("tile"), "b": F.col("tile")})
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("a"), F.greatest("tile", k).alias("b")))
+    return dealt.withColumn("m", F.explode(meets)).withColumns({"a": F.col("m.a"), "b": F.col("m.b")})
+
+
+def _by_group(dealt: DataFrame, more: DataFrame, column: str) -> DataFrame:
+    full = dealt.join(more.hint("merge"), "cls").select("token", "a", "b", "cls", "n", "component", "tile", column)
+    return full.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n", "cls")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(ord, rk, doc_id, component_id, first) for every row of docs: what tells rows apart,
     the smallest doc_id reachable over near copies, and whether the row is the least of
@@ -234,44 +304,36 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     rows = materialize(_sketched(docs), "shingle-rows")
-    classes = rows.groupBy("cls").agg(F.min(F.struct("ord", "rk")).alias("rep"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sketch").alias("sketch"))
-    classes = materialize(classes, "shingle-classes")
-    tokens = rows.where("prefix is not null").select("cls", "n", F.explode("prefix").alias("token")).repartition("token").dropDuplicates(["token", "cls"])
-    shared = tokens.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1").select("token", "cls", "n", "size")
-    shared = materialize(shared, "shingle-shared")
-    sketches = classes.select("cls", "sketch").hint("merge")
-
-    def candidates(keyed: DataFrame, stars: bool) -> DataFrame:
-        """keyed: (token, cls, n, size, component)."""
-        tiles = F.ceil(F.col("size") / TILE).cast("int")
-        dealt = keyed.withColumn("tile", F.pmod(F.xxhash64("cls"), tiles).cast("int"))
-        if stars:
-            dealt = dealt.withColumns({"a": F.col("tile"), "b": F.col("tile")})
-        else:
-            meets = F.transform(F.sequence(F.lit(0), tiles - 1), lambda k: F.struct(F.least("tile", k).alias("a"), F.greatest("tile", k).alias("b")))
-            dealt = dealt.withColumn("m", F.explode(meets)).withColumns({"a": F.col("m.a"), "b": F.col("m.b")})
-        full = dealt.join(sketches, "cls").select("token", "a", "b", "cls", "n", "component", "tile", "sketch")
-        sorted_ = full.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n", "cls")
-        return sorted_.mapInArrow(_pair_stream(stars), "u long, v long")
-
-    by_fp = classes.groupBy("fp").agg(F.min("cls").alias("rep"))
-    by_fp = materialize(by_fp, "shingle-fp")
-    same_fp = classes.select("cls", "fp").join(by_fp, "fp").where("cls <> rep").select(F.col("rep").alias("u"), F.col("cls").alias("v"))
-    near_fp = simhash.links(by_fp)
-    stars = candidates(shared.withColumn("component", F.col("cls")), True)
-    pairs = same_fp.unionByName(near_fp).unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = materialize(_similar(docs, classes, materialize(pairs, "shingle-pairs")), "shingle-links")
-
-    found = materialize(connected_components(links, "shingle-cc"), "shingle-found")
-    group = Window.partitionBy("token")
-    keyed = shared.join(found.hint("merge"), F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
-    keyed = keyed.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).where("lo <> hi")
-    pairs = materialize(candidates(keyed, False).distinct(), "shingle-pairs")
-    links = links.unionByName(_similar(docs, classes, pairs))
-
-    found = connected_components(links, "shingle-cc")
-    grouped = classes.select("cls", "rep").join(found.hint("merge"), F.col("cls") == F.col("node"), "left")
-    grouped = materialize(grouped.select("cls", "rep", F.coalesce("component", "cls").alias("component")), "shingle-grouped")
+    with scratch(docs.sparkSession, "shingle-grouped"):
+        classes = rows.groupBy("cls").agg(F.min(F.struct("ord", "rk")).alias("rep"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sketch").alias("sketch"))
+        classes = materialize(classes, "shingle-classes")
+        tokens = rows.where("prefix is not null").select("cls", "n", F.explode("prefix").alias("token")).repartition("token").dropDuplicates(["token", "cls"])
+        shared = tokens.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1").select("token", "cls", "n", "size")
+        shared = materialize(shared, "shingle-shared")
+        sketches, tiles = classes.select("cls", "sketch"), F.ceil(F.col("size") / TILE)
+
+        by_fp = classes.groupBy("fp").agg(F.min("cls").alias("rep"))
+        by_fp = materialize(by_fp, "shingle-fp")
+        same_fp = classes.select("cls", "fp").join(by_fp, "fp").where("cls <> rep").select(F.col("rep").alias("u"), F.col("cls").alias("v"))
+        near_fp = simhash.links(by_fp)
+        stars = _by_group(_tiled(shared.withColumn("component", F.col("cls")), tiles, True), sketches, "sketch").mapInArrow(_star_stream, "u long, v long")
+        pairs = same_fp.unionByName(near_fp).unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        links = materialize(_similar(docs, classes, materialize(pairs, "shingle-pairs")), "shingle-links")
+
+        found = materialize(connected_components(links, "shingle-cc"), "shingle-found")
+        group = Window.partitionBy("token")
+        keyed = shared.join(found.hint("merge"), F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
+        keyed = keyed.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).where("lo <> hi")
+        met = _by_group(_tiled(keyed, tiles), sketches, "sketch").mapInArrow(_member_stream, "token long, cls long, n long, component long")
+        members = materialize(met.distinct(), "shingle-members")
+        sets = _sets_of(docs, classes, materialize(members.select("cls").distinct(), "shingle-wanted"))
+        sizes = members.groupBy("token").agg(F.ceil(F.sum("n") / TILE_HASHES).alias("size"))
+        rest = _by_group(_tiled(members.join(sizes, "token"), F.greatest("size", F.lit(1))), sets, "hashes").mapInArrow(_link_stream, "u long, v long")
+        links = links.unionByName(materialize(rest, "shingle-links"))
+
+        found = connected_components(links, "shingle-cc")
+        grouped = classes.select("cls", "rep").join(found.hint("merge"), F.col("cls") == F.col("node"), "left")
+        grouped = materialize(grouped.select("cls", "rep", F.coalesce("component", "cls").alias("component")), "shingle-grouped")
     least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
     of_class = grouped.join(least.hint("merge"), "component").select("cls", "least")
     doc_id = lambda c: F.when(c != NO_ID, c)

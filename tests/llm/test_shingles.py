@@ -82,6 +82,7 @@ def test_empty_and_null_ids(spark):
 
 def test_large_groups_go_by_tiles(spark, rows, monkeypatch):
     monkeypatch.setattr(shingles, "TILE", 6)
+    monkeypatch.setattr(shingles, "TILE_HASHES", 900)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()} == brute(rows)
 
@@ -95,3 +96,20 @@ def test_parity_sketches_bound_the_difference():
         while x.shape[1] != y.shape[1]:
             x, y = (shingles._folded(x), y) if x.shape[1] > y.shape[1] else (x, shingles._folded(y))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_a_cluster_about_the_threshold(spark):
+    """Copies of one text with so many changes that about half of the pairs are linked."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(900)]
+    base, rows = [rng.choice(vocab) for _ in range(250)], []
+    for i in range(120):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    sets = [brute_set(t) for _, t in rows]
+    linked = sum(similar(sets[i], sets[j]) for i in range(120) for j in range(i))
+    assert 500 < linked < 6600
+    got = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute(rows)
