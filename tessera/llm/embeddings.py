@@ -167,9 +167,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int
         return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
 
     met = [F.transform(of(0), lambda k: pair(c, F.least(tile, k), F.greatest(tile, k), 0, F.when(k < tile, 1).otherwise(0)))]
-    for x in ahead:
-        met.append(F.transform(of(x), lambda k, x=x: pair(c, tile, k, x, F.lit(0))))
-        met.append(F.transform(of(-x), lambda k, x=x: pair(c - x, k, tile, x, F.lit(1))))
+
+    def meet(x: int) -> list:
+        """The tiles met in the cell ahead by x, and in the one behind."""
+        return [F.transform(of(x), lambda k: pair(c, tile, k, x, F.lit(0))), F.transform(of(-x), lambda k: pair(c - x, k, tile, x, F.lit(1)))]
+
+    met += [tiles_met for x in ahead for tiles_met in meet(x)]
     dealt = placed.select("label", "dim", "rep", "weight", "embedding", F.explode(F.concat(*met)).alias("m")).select(
         "label", "dim", "m.pc", "m.step", "m.i", "m.j", "m.side", "rep", "weight", "embedding"
     )
