@@ -34,6 +34,8 @@ from tessera.llm.common import Forest, batches_of, connected_components, materia
 SEED = 42
 #: Parts into which the rows of one fingerprint are dealt for the join with its class.
 SALTS = 16
+#: How often nodes are split at most; each time, the masks become radius + 1 times as many.
+MOST_SPLITS = 3
 FAN = 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -222,9 +224,9 @@ def links(reps: DataFrame, radius: int = 4, node_rows: int = 200_000) -> DataFra
         F.posexplode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(masks)])).alias("t", "key"),
     )
     done = None
-    while True:
+    for _ in range(MOST_SPLITS):
         large = materialize(keyed.groupBy("key").count().where(F.col("count") > node_rows).select("key"), "simhash-nodes")
-        if large.isEmpty() or all(m.bit_count() > 64 - 2 * (radius + 1) for m in masks):
+        if large.isEmpty():
             break
         rest = keyed.join(large, "key", "left_anti")
         done = rest if done is None else done.unionByName(rest)
