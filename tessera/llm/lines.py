@@ -179,9 +179,16 @@ def distinct_lines(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame
 
 def _common(a: Column, b: Column) -> Column:
     """How many characters two texts begin with alike."""
-    x, y, most = F.split(a, ""), F.split(b, ""), F.least(F.length(a), F.length(b))
-    unlike = F.filter(F.sequence(F.lit(0), most), lambda i: (i >= most) | (F.get(x, i) != F.get(y, i)))
-    return F.array_min(unlike).cast("int")
+
+    def count(x: Column) -> Column:
+        def with_y(y: Column) -> Column:
+            most = F.least(F.size(x), F.size(y))
+            unlike = F.filter(F.sequence(F.lit(0), most), lambda i: (i >= most) | (F.get(x, i) != F.get(y, i)))
+            return F.array_min(unlike).cast("int")
+
+        return _let(F.split(b, ""), with_y)
+
+    return F.when((a == "") | (b == ""), F.lit(0)).otherwise(_let(F.split(a, ""), count))
 
 
 def _near(a_line: Column, b_line: Column, max_edits: int) -> Column:
@@ -195,7 +202,7 @@ def _hits(pairs: DataFrame, max_edits: int) -> DataFrame:
 
 def _apart(a: Column, b: Column) -> Column:
     """How far two counts of letters differ; an edit changes those of two by one."""
-    return sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(1, len(LETTERS))), F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))))
+    return sum((F.abs(a[i] - b[i]) for i in range(1, len(LETTERS))), F.abs(a[0] - b[0]))
 
 
 def _order(side: str = "") -> Column:
@@ -248,17 +255,24 @@ def near_lines(docs: DataFrame, distinct: DataFrame, max_edits: int, min_chars:
         _without(line, cut(2), cut(3)).alias("rest"),
     )
     level, hits, depth = materialize(level, "line-level"), None, 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own, rest = ~F.col("later"), F.col("rest")
     while True:
+        ends = [] if not depth else [F.min(rest).alias("a"), F.max(rest).alias("z"), F.min(F.reverse(rest)).alias("ra"), F.max(F.reverse(rest)).alias("rz")]
         groups = level.groupBy("key").agg(
-            F.min(who).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("size"), F.min(F.when(own, F.struct(_order().alias("at"), "line"))).alias("first"),
-            F.max(F.when(own, F.length(rest))).alias("least"), F.min(rest).alias("a"), F.max(rest).alias("z"), F.min(F.reverse(rest)).alias("ra"), F.max(F.reverse(rest)).alias("rz"),
+            F.min(who).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("size"), F.min(F.when(own, F.struct(_order().alias("at"), "line", "letters"))).alias("first"),
+            F.max(F.when(own, F.length(rest))).alias("least"), *ends,
         ).where("lo <> hi and first is not null")
-        groups = groups.withColumn("head", F.least(_common(F.col("a"), F.col("z")), F.col("least")))
-        groups = groups.withColumn("tail", F.least(_common(F.col("ra"), F.col("rz")), F.col("least") - F.col("head"))).drop("lo", "hi", "a", "z", "ra", "rz")
-        level = materialize(level.join(materialize(groups, "line-groups").hint("merge"), "key"), "line-level")
+        if depth:
+            groups = groups.withColumn("head", F.when(F.col("size") <= group_rows, F.lit(0)).otherwise(F.least(_common(F.col("a"), F.col("z")), F.col("least"))))
+            groups = groups.withColumn("tail", F.when(F.col("size") <= group_rows, F.lit(0)).otherwise(F.least(_common(F.col("ra"), F.col("rz")), F.col("least") - F.col("head"))))
+        groups = groups.drop("lo", "hi", "a", "z", "ra", "rz")
+        # Few bytes, much work: not to be put together in fewer tasks.
+        level = level.join(materialize(groups, "line-groups").hint("merge"), "key")
+        level = materialize(level.repartition(parts, "key"), "line-level")
 
         behind = level.where((F.col("first.at") < _order()) & (F.abs(F.length("line") - F.length("first.line")) <= max_edits))
+        behind = behind.where(_apart(F.col("letters"), F.col("first.letters")) <= 2 * max_edits)
         behind = _open(behind, hits).select(F.col("first.line").alias("a_line"), F.col("line").alias("b_line"), *AT)
         hits = materialize(_joined(hits, _hits(behind, max_edits)), "line-hits")
 
@@ -271,8 +285,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, max_edits: int, min_chars:
             (F.col("a.key") == F.col("b.key")) & (_order("a.") < _order("b.")) & (F.abs(F.col("a.n") - F.col("b.n")) <= max_edits)
             & ~(F.col("a.probe") & F.col("b.probe")) & ~(F.col("a.later") & F.col("b.later")) & (_apart(F.col("a.letters"), F.col("b.letters")) <= 2 * max_edits)
         )
-        pairs = a.alias("a").join(b.hint("merge"), met).select(F.xxhash64(*[f"a.{c}" for c in AT]).alias("a_at"), F.col("a.line").alias("a_line"), F.col("b.line").alias("b_line"), *[f"b.{c}" for c in AT])
-        hits = materialize(_joined(hits, _hits(pairs.dropDuplicates(["a_at", *AT]), max_edits)), "line-hits")
+        pairs = a.repartition(parts, "key").alias("a").join(b.repartition(parts, F.col("b.key")).hint("merge"), met).select(F.xxhash64(*[f"a.{c}" for c in AT]).alias("a_at"), F.col("a.line").alias("a_line"), F.col("b.line").alias("b_line"), *[f"b.{c}" for c in AT])
+        pairs = pairs.dropDuplicates(["a_at", *AT]).repartition(parts, "a_at")
+        hits = materialize(_joined(hits, _hits(pairs, max_edits)), "line-hits")
 
         large = level.where(~small)
         if large.isEmpty():
@@ -284,8 +299,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, max_edits: int, min_chars:
         else:
             cut_off = F.substring("rest", F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail"))
             large = large.withColumn("left", (F.col("least") - F.col("head") - F.col("tail")).cast("int")).withColumn("rest", cut_off)
-            parts = segments(F.length("rest"), F.col("left"), max_edits)
-            each = F.array(*[F.struct(F.xxhash64("key", F.lit(i), F.substring("rest", at, k)).alias("key"), F.lit(p).alias("probe"), at.alias("at"), k.alias("k")) for i, at, k, p in parts])
+            pieces = segments(F.length("rest"), F.col("left"), max_edits)
+            each = F.array(*[F.struct(F.xxhash64("key", F.lit(i), F.substring("rest", at, k)).alias("key"), F.lit(p).alias("probe"), at.alias("at"), k.alias("k")) for i, at, k, p in pieces])
             level = large.select("key", *AT, "n", "line", "letters", "later", "rest", "left").withColumn("part", F.explode(each))
             level = level.select("part.key", *AT, "n", "line", "letters", "part.probe", "later", _without(F.col("rest"), F.col("part.at"), F.col("part.k")).alias("rest"))
         level, depth = materialize(level, "line-level"), depth + 1
@@ -296,7 +311,7 @@ def _without(text: Column, at: Column, k: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + k, F.length(text)))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, group_rows: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, group_rows: int = 1000) -> DataFrame:
     """docs with repeated and near-repeated lines taken out of text; adds n_lines,
     n_repeated and n_near.
 

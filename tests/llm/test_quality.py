@@ -59,7 +59,7 @@ def brute_features(text):
 def brute_stems(text):
     out = set()
     for w in re.findall(r"[^\W\d_]+", text.lower()):
-        out |= {w} | {w[:k] + "*" for k in (4, 5, 6, 7, 8) if k <= len(w)}
+        out |= {w} | {w[:k] + "*" for k in (4, 5, 6, 7, 8) if k < len(w)}
     return out
 
 
