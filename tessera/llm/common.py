@@ -74,7 +74,7 @@ def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
     try:
         yield
     finally:
-        _SCOPES.remove(held)
+        _SCOPES.pop()  # scratches are nested, so this is held
         for path in held:
             if path.rsplit("/", 1)[1].rsplit("-", 1)[0] in keep:
                 continue
