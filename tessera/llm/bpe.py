@@ -28,7 +28,11 @@ def byte_alphabet() -> dict[int, str]:
 
 
 #: Pairs of tokens whose compatibility is remembered at most.
-MOST_PAIRS = 500_000
+MOST_PAIRS = 1_000_000
+#: Tables of the first symbols of longer words that are remembered at most.
+HEAD, MOST_HEADS = 7, 200_000
+#: What a word's first token follows, in place of a token; -1 is what has no token.
+_NOTHING = -2
 
 
 class PrefixBpe:
@@ -46,6 +50,12 @@ class PrefixBpe:
         last = {t[: -len(end)]: i for t, i in vocab.items() if end and t.endswith(end)} if end else inner
         self.inner, self.last = self._suffixes(inner), self._suffixes(last)
         self._fits: dict[int, bool] = {}
+        self._heads: dict[str, tuple] = {}
+        self._tokens, self._begins = inner, {t[:k] for t in inner for k in range(len(t) + 1)}
+        # A state: its text, the states that follow by symbols, and the tokens that end
+        # the text, as (id, length), longest first. Its text begins a token.
+        self._states: dict[str, tuple[str, dict, tuple]] = {}
+        self._start = self._state("")
 
     @staticmethod
     def _suffixes(tokens: dict[str, int]) -> dict[str, int]:
@@ -67,7 +77,19 @@ class PrefixBpe:
             symbols = symbols[:i] + [symbols[i] + symbols[i + 1]] + symbols[i + 2 :]
         return symbols
 
+    def _state(self, text: str) -> tuple[str, dict, tuple]:
+        """The state of the longest end of text that begins a token."""
+        while text not in self._begins:
+            text = text[1:]
+        known = self._states.get(text)
+        if known is None:
+            ends = ((text[k:], len(text) - k) for k in range(len(text)))
+            known = self._states[text] = text, {}, tuple((self._tokens[t], n) for t, n in ends if t in self._tokens)
+        return known
+
     def _compatible(self, a: int, b: int) -> bool:
+        if a == _NOTHING:  # a token alone: whether its text is encoded as itself
+            return self.merged([*self.text[b]]) == [self.text[b]]
         x, y = self.text[a], self.text[b]
         bare = y[: -len(self.end)] if self.end and y.endswith(self.end) else y
         symbols = [*x, *bare]
@@ -77,29 +99,54 @@ class PrefixBpe:
     def table(self, word: str, whole: bool = True) -> tuple[list[int], list[int]]:
         """(last token, number of tokens) of every prefix, the empty one first; the
         whole word's end symbol carries ``end`` if whole."""
-        n = len(word)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        fits = self._fits
-        for i in range(1, n + 1):
-            get = (self.last if i == n and whole else self.inner).get
-            for j in range(i - 1, -1, -1):
-                t = get(word[j:i])
+        n, heads = len(word), self._heads
+        i = HEAD if n > HEAD else 0
+        known = heads.get(word[:i])
+        if known is None:
+            known = self._start, [_NOTHING], [0]
+            if i:
+                if len(heads) >= MOST_HEADS:
+                    heads.clear()
+                known = heads[word[:i]] = self._further(word[:i], *known)
+        _, last, count = self._further(word[i:], *known)
+        last[0] = -1
+        if self.end and whole and n:
+            last[n], count[n] = -1, 0
+            for j in range(n - 1, -1, -1):
+                t = self.last.get(word[j:])
                 if t is None:
                     break
-                if t >= 0:
-                    if j:
-                        key = last[j] << 20 | t
-                        ok = fits.get(key)
-                        if ok is None:
-                            if len(fits) >= MOST_PAIRS:
-                                fits.clear()
-                            ok = fits[key] = last[j] >= 0 and self._compatible(last[j], t)
-                        if not ok:
-                            continue
-                    last[i], count[i] = t, count[j] + 1
+                if t >= 0 and (not j or last[j] >= 0 and self._compatible(last[j], t)):
+                    last[n], count[n] = t, count[j] + 1
                     break
         return last, count
 
+    def _further(self, word: str, state: tuple, last: list[int], count: list[int]) -> tuple[tuple, list[int], list[int]]:
+        """The state and the table of a word so far (last begins with _NOTHING), after
+        further symbols."""
+        fits, last, count = self._fits, last[:], count[:]
+        for symbol in word:
+            after = state[1].get(symbol)
+            if after is None:
+                after = state[1][symbol] = self._state(state[0] + symbol)
+            state = after
+            for t, length in state[2]:
+                before = last[-length]
+                key = before << 20 | t
+                ok = fits.get(key)
+                if ok is None:
+                    if len(fits) >= MOST_PAIRS:
+                        fits.clear()
+                    ok = fits[key] = before != -1 and self._compatible(before, t)
+                if ok:
+                    n = count[-length] + 1
+                    break
+            else:
+                t, n = -1, 0
+            last.append(t)
+            count.append(n)
+        return state, last, count
+
     def encode(self, word: str) -> list[int]:
         last, _ = self.table(word)
         out, i = [], len(word)
@@ -124,16 +171,23 @@ _ODD = re.compile(f"[{WHITE.replace(' ', '')}]".replace("\t-\r", "\t\x0b-\r") +
 class ChunkMemo:
     """A bounded memo of what is worked out for each chunk (white space and the
     text behind it) of a text. The bound is on memory only: what has gone is
-    worked out again."""
+    worked out again. With twice, a full memo is kept beside the next one, and what
+    is asked for again moves over."""
 
-    def __init__(self, work: Callable[[str], object], most: int = 400_000, longest: int = 64):
+    def __init__(self, work: Callable[[str], object], most: int = 400_000, longest: int = 64, twice: bool = False):
         memo = self
 
         class _Memo(dict):
+            old: dict = {}
+
             def __missing__(self, key):
-                value = work(self.chunk(key))
+                value = self.old.get(key)
+                if value is None:
+                    value = work(self.chunk(key))
                 if len(key) <= longest:
                     if len(self) >= most:
+                        if twice:
+                            self.old = dict(self)
                         self.clear()
                     self[key] = value
                 return value

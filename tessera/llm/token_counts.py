@@ -9,6 +9,7 @@ no text, and no part of one, is encoded again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bpe
 from tessera.llm.bpe import WHITE, ChunkMemo, byte_alphabet, chunks_of, load
 from tessera.llm.common import batches_of, read_table, spread
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Letters of Latin-1 behind a blank or nothing, and punctuation without an apostrophe.
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?)]*)").fullmatch
 
 
 class PrefixCounter:
@@ -37,9 +41,10 @@ class PrefixCounter:
         self._split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.special = sorted(special, key=len, reverse=True)
         self._bytes = byte_alphabet()
+        self._symbols = {c: "".join(self._bytes[x] for x in chr(c).encode()) for c in range(0x100)}
         self._tables: dict[str, bytes] = {}
         self._most = memo
-        self.counts = ChunkMemo(self.count_chunk, memo)
+        self.counts = ChunkMemo(self.count_chunk, memo, twice=True)
 
     def _table(self, symbols: str) -> bytes | list[int]:
         """The number of tokens of every prefix of one pre-token, by symbols; those of
@@ -66,6 +71,11 @@ class PrefixCounter:
         return out + [(chunk[at:], False)] * (at < len(chunk))
 
     def count_chunk(self, chunk: str) -> int:
+        plain = _PLAIN(chunk)
+        if plain:  # a word and its punctuation, which the library parts there too
+            word, marks = plain.groups()
+            total = self._table(word.translate(self._symbols))[-1]
+            return total + self._table(marks)[-1] if marks else total
         total = 0
         for part, special in self._segments(chunk) if "<" in chunk else ((chunk, False),):
             total += 1 if special else sum(self._table(symbols)[-1] for symbols, _ in self._split(part))

@@ -48,3 +48,23 @@ def test_long_texts(spark):
         count = lambda j: len(lib.encode(text[:j], add_special_tokens=False).ids)  # noqa: E731, B023
         assert row.n_tokens == count(len(text)) and count(row.fit_chars) <= 1024
         assert row.fit_chars == len(text) or count(row.fit_chars + 1) > 1024
+
+
+def test_plain_words_are_parted_without_the_library(monkeypatch):
+    lib, own, rng = Tokenizer.from_file(PATH), token_counts.PrefixCounter(PATH, memo=60), random.Random(6)
+    monkeypatch.setattr(token_counts.bpe, "MOST_HEADS", 5)
+    monkeypatch.setattr(token_counts.bpe, "MOST_PAIRS", 50)
+    syllables = ["the", "on", "ti", "ä", "ß", "É", "zu", "Ch", "x", "ñó", "eit", "ing"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", ",", "?!", ")", ".)"]) for _ in range(30)) for _ in range(40)]
+    split, seen = own._split, []
+    own._split = lambda part: seen.append(part) or split(part)
+    assert [own.count(t) for t in texts] == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts] and not seen
+    odd = ["it's", "don't", "x1", "(a", "aª", "aµb", "a×b", "aÿ", "word.'s", "no.1", "a,b", "á", "Ā", "a<|endoftext|>."]
+    assert [own.count(t) for t in odd] == [len(lib.encode(t, add_special_tokens=False).ids) for t in odd] and seen
+
+
+def test_a_full_memo_is_kept_beside_the_next():
+    made = []
+    memo = token_counts.ChunkMemo(lambda chunk: made.append(chunk) or len(chunk), 3, twice=True)
+    assert [memo.plain[x] for x in ("a", "b", "c", "d", "a", "e", "a", "f", "a")] == [1] * 9
+    assert made == ["a", "b", "c", "d", "e", "f"] and len(memo.plain) <= 3
