@@ -24,7 +24,7 @@ import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -218,37 +218,52 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class TextEncoder:
-    """What per_word makes of the ids of each word, over whole texts; memos of words
-    and of chunks bound the memory, not the result."""
+    """What joined makes of per_word of the ids of a chunk's words, for each chunk of a
+    text; memos of words and of chunks bound the memory, not the result."""
 
-    def __init__(self, path: str, pattern: str, per_word, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, per_word, joined, most: int = 400_000):
         import regex
 
-        self.ranks, self.find, self.per_word, self.most = read_ranks(path), regex.compile(pattern).findall, per_word, most
-        self.words: dict[str, list] = {}
-        self.chunks = ChunkMemo(lambda chunk: [self.word(w) for w in self.find(chunk)], most)
+        self.ranks, self.find, self.per_word, self.joined, self.most = read_ranks(path), regex.compile(pattern).findall, per_word, joined, most
+        self.words: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.chunks = ChunkMemo(self.chunk, most, twice=True)
+
+    def chunk(self, chunk: str):
+        words = list(map(self.word, self.find(chunk)))
+        return words[0] if len(words) == 1 else self.joined(words)
 
     def word(self, word: str):
         known = self.words.get(word)
         if known is None:
-            known = self.per_word(merged(word.encode(), self.ranks))
+            known = self.old.get(word)
+            if known is None:
+                known = self.per_word(merged(word.encode(), self.ranks))
             if len(word) <= 64:
-                if len(self.words) >= self.most:
-                    self.words.clear()
+                if len(self.words) >= self.most:  # kept beside the next one, as ChunkMemo does
+                    self.old, self.words = self.words, {}
                 self.words[word] = known
         return known
 
     def __call__(self, text: str) -> list:
-        return list(chain.from_iterable(self.chunks(text)))
+        return self.chunks(text)
+
+
+def _digest(pieces: dict[int, bytes], ids: list[int]) -> tuple[int, str, bytes]:
+    return len(ids), " ".join(map(str, ids)), b"".join(map(pieces.__getitem__, ids))
+
+
+def _joined_digests(words: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
+    return sum(w[0] for w in words), " ".join(w[1] for w in words), b"".join(w[2] for w in words)
 
 
 @lru_cache(maxsize=4)
 def text_encoder(path: str, pattern: str, kind: str) -> TextEncoder:
     """One encoder a worker; kind "ids" keeps ids, "digest" their number, decimals and
     the concatenated pieces that they decode to."""
-    pieces = {i: t for t, i in read_ranks(path).items()}
-    digest = lambda ids: (len(ids), " ".join(map(str, ids)), b"".join(map(pieces.__getitem__, ids)))
-    return TextEncoder(path, pattern, list if kind == "ids" else digest)
+    if kind == "ids":
+        return TextEncoder(path, pattern, list, lambda words: list(chain.from_iterable(words)))
+    return TextEncoder(path, pattern, partial(_digest, {i: t for t, i in read_ranks(path).items()}), _joined_digests)
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -302,9 +317,9 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         for batch in batches_of(batches, "text", 8 << 20):
             rows = []
             for text in batch.column("text").to_pylist():
-                words = encode(text) if text else ()
-                counts, decimal, data = zip(*words) if words else ((), (), ())
-                rows.append((sum(counts), sha(" ".join(decimal).encode()), sha(b"".join(data))))
+                chunks = encode(text) if text else ()
+                counts, decimal, data = zip(*chunks) if chunks else ((), (), ())
+                rows.append((sum(counts), sha(" ".join(filter(None, decimal)).encode()), sha(b"".join(data))))
             cols = list(zip(*rows))
             yield pa.record_batch([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

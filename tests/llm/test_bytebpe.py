@@ -49,3 +49,15 @@ def test_long_and_short_words_merge_alike():
         for alphabet in ("a", "abcdefghijklmnopqrst", "etaoin shrd"):
             word = "".join(rng.choice(alphabet.replace(" ", "")) for _ in range(n)).encode()
             assert bytebpe.merged(word, ranks) == lib._core_bpe.encode_single_piece(word)
+
+
+def test_a_full_memo_of_words_is_kept_beside_the_next():
+    ranks, real, seen = public_tokenizers.path(bytebpe.RANKS), bytebpe.merged, []
+    made = bytebpe.text_encoder(ranks, public_tokenizers.PATTERN, "digest")
+    own = bytebpe.TextEncoder(ranks, public_tokenizers.PATTERN, made.per_word, made.joined, most=3)
+    with mock.patch.object(bytebpe, "merged", lambda word, ranks: seen.append(word) or real(word, ranks)):
+        got = own("aqx bqx, cqx dqx aqx eqx aqx fqx, aqx")
+    assert seen.count(b" aqx") == 1 and len(got) == 9 and len(own.words) <= 3
+    lib = reference()
+    ids = lib.encode_ordinary("aqx bqx, cqx dqx aqx eqx aqx fqx, aqx")
+    assert " ".join(c[1] for c in got) == " ".join(map(str, ids)) and b"".join(c[2] for c in got) == lib.decode_bytes(ids) and sum(c[0] for c in got) == len(ids)
